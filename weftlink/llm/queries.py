@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, host_rules
+from . import chat_format, grades, host_rules, language
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,9 +26,24 @@ def op3_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("host_rate", 6).alias("host_rate"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    apart = language.held_out(F.col("doc_id"))
+    model = language.learn(docs, ~apart)
+    return language.identify(docs, model).select("doc_id", apart.alias("held_out"), "lang_pred", "score", "accepted")
+
+
+def op8_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    ratings = labels.select("doc_id", grades.graded(F.col("quality"), F.col("toxic")).alias("grade"))
+    return grades.grade(docs, grades.learn(docs, ratings))
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op3_host_quality_rules": op3_host_quality_rules,
+    "op5_language_id": op5_language_id,
+    "op8_ordinal_quality": op8_ordinal_quality,
 }
 
 ORACLES = {
