@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, grades, host_rules, language
+from . import chat_format, grades, host_rules, language, pieces
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,15 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_chats(chat_format.format_chats(convs.unionByName(extra)), ordered=True)
 
 
+#: A public model file of the installed tokenizers; any other SentencePiece model can be named.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str, model: str = PIECES) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encode(docs, model, check_col="round_trip").withColumn("n_tokens", F.size("token_ids").cast("long"))
+
+
 def op3_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = host_rules.host_rules(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("host_rate", 6).alias("host_rate"))
@@ -41,6 +50,7 @@ def op8_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_host_quality_rules": op3_host_quality_rules,
     "op5_language_id": op5_language_id,
     "op8_ordinal_quality": op8_ordinal_quality,
