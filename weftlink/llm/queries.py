@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, grades, host_rules, language, pieces
+from . import chat_format, grades, host_rules, language, neighbours, pieces
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,12 +48,17 @@ def op8_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grades.grade(docs, grades.learn(docs, ratings))
 
 
+def op10_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_host_quality_rules": op3_host_quality_rules,
     "op5_language_id": op5_language_id,
     "op8_ordinal_quality": op8_ordinal_quality,
+    "op10_permutation_index": op10_permutation_index,
 }
 
 ORACLES = {
