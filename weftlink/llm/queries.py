@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, grades, host_rules, language, neighbours, pieces
+from . import chat_format, grades, host_rules, language, mixing, neighbours, pieces
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,19 @@ def op8_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grades.grade(docs, grades.learn(docs, ratings))
 
 
+#: Domains of the labelled table and the token shares to reach.
+TARGETS = {"toxic": 0.02, "low": 0.08, "high": 0.9}
+
+
+def domains(labels: DataFrame) -> DataFrame:
+    grade = grades.graded(F.col("quality"), F.col("toxic"))
+    return labels.select("doc_id", F.element_at(F.array(*map(F.lit, TARGETS)), grade + 1).alias("domain"))
+
+
+def op9_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), domains(table(spark, sf_dir, "labels")), TARGETS)
+
+
 def op10_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -58,6 +71,7 @@ QUERIES = {
     "op3_host_quality_rules": op3_host_quality_rules,
     "op5_language_id": op5_language_id,
     "op8_ordinal_quality": op8_ordinal_quality,
+    "op9_soft_mixing": op9_soft_mixing,
     "op10_permutation_index": op10_permutation_index,
 }
 
