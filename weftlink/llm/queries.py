@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, grades, host_rules, language, mixing, neighbours, pieces
+from . import chat_format, grades, host_rules, language, mixing, neighbours, passages, pieces
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", apart.alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op7_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.dedup(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op8_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     ratings = labels.select("doc_id", grades.graded(F.col("quality"), F.col("toxic")).alias("grade"))
@@ -70,12 +74,22 @@ QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_host_quality_rules": op3_host_quality_rules,
     "op5_language_id": op5_language_id,
+    "op7_block_anchors": op7_block_anchors,
     "op8_ordinal_quality": op8_ordinal_quality,
     "op9_soft_mixing": op9_soft_mixing,
     "op10_permutation_index": op10_permutation_index,
 }
 
 ORACLES = {
+    "op7_block_anchors": r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '') AS words FROM documents),
+w AS (SELECT doc_id, words, unnest(range(0, greatest(len(words) - 19, 0))) AS i FROM d),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY md5(array_to_string(words[i+1:i+20], ' ')) ORDER BY doc_id, i) AS k FROM w),
+g AS (SELECT doc_id, list(DISTINCT p) AS gone FROM (SELECT doc_id, unnest(range(i, i + 20)) AS p FROM r WHERE k > 1) GROUP BY doc_id),
+k AS (SELECT doc_id, words, coalesce(gone, []::BIGINT[]) AS gone FROM d LEFT JOIN g USING (doc_id)),
+t AS (SELECT doc_id, len(words)::BIGINT AS n_words, len(gone)::BIGINT AS n_removed,
+      coalesce((SELECT string_agg(w, ' ' ORDER BY p) FROM (SELECT unnest(words) AS w, unnest(range(0, len(words))) AS p, gone) x WHERE NOT list_contains(gone, p)), '') AS kept FROM k)
+SELECT doc_id, n_words, n_removed, sha256(kept) AS kept_sha256 FROM t""",
     "op1_chat_formatting": r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
