@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, grades, host_rules, language, mixing, neighbours, passages, pieces
+from . import chat_format, grades, host_rules, language, mixing, neighbours, passages, pieces, suffixes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op3_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("host_rate", 6).alias("host_rate"))
 
 
+def op4_prefix_free_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     apart = language.held_out(F.col("doc_id"))
@@ -73,6 +77,7 @@ QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_host_quality_rules": op3_host_quality_rules,
+    "op4_prefix_free_dedup": op4_prefix_free_dedup,
     "op5_language_id": op5_language_id,
     "op7_block_anchors": op7_block_anchors,
     "op8_ordinal_quality": op8_ordinal_quality,
