@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, grades, host_rules, language, mixing, neighbours, passages, pieces, suffixes
+from . import chat_format, grades, host_rules, language, mixing, nearcopies, neighbours, passages, pieces, suffixes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", apart.alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op6_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearcopies.near_copies(table(spark, sf_dir, "documents"))
+
+
 def op7_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.dedup(table(spark, sf_dir, "documents"), with_text=False)
 
@@ -79,6 +83,7 @@ QUERIES = {
     "op3_host_quality_rules": op3_host_quality_rules,
     "op4_prefix_free_dedup": op4_prefix_free_dedup,
     "op5_language_id": op5_language_id,
+    "op6_superminhash": op6_superminhash,
     "op7_block_anchors": op7_block_anchors,
     "op8_ordinal_quality": op8_ordinal_quality,
     "op9_soft_mixing": op9_soft_mixing,
