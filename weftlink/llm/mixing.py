@@ -101,7 +101,7 @@ def fit_rates(soft: DataFrame, targets: list[float], total: float | None = None,
 
     targets: the domains' weights.  total: tokens to reach, by default those
     there are.  anchor: instead, the total at which this domain keeps 1.1 times
-    its tokens.  Domains of weight 0 take the mean target as their scale.
+    its tokens.
     """
     k = range(len(targets))
     weight = np.array(targets, float) / sum(targets)
@@ -117,7 +117,7 @@ def fit_rates(soft: DataFrame, targets: list[float], total: float | None = None,
     if anchor is not None and weight[anchor] > 0:
         total = 1.1 * have[anchor] / weight[anchor]
     goal = weight * total
-    scale = np.where(goal > 0, goal, max(goal.mean(), 1.0))
+    scale = np.maximum(have, 1e-3 * max(have.sum(), 1.0))  # residuals count relative to the tokens there are
     # of residual / scale the second derivative in token-weighted rates has at most this eigenvalue
     gram = soft.agg(*(F.sum(tokens * F.col("p")[i] * F.col("p")[j]).alias(f"g{i}_{j}") for i in k for j in k)).first()
     h = np.array([x or 0.0 for x in gram]).reshape(len(k), len(k)) / np.sqrt(np.outer(scale, scale))
