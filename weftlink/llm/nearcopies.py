@@ -6,10 +6,10 @@ the smallest rank wins a place.  That has less variance than independent hashes,
 and a document is done as soon as no further rank can win anywhere.
 
 Documents with equal sets are one class.  Classes whose signatures agree in a
-band share a bucket.  Buckets are searched without making all their pairs: a
-pivot is compared with every member on the full sets, components of confirmed
-links are found by distributed union-find, and only members of one bucket that
-are still apart are compared further, until no two of them are left untested.
+band meet in a bucket; chains of buckets are clusters, found by distributed
+union-find over one edge a member.  Within a cluster all sets are compared in
+full, block by block, and the confirmed links give the components, again by
+union-find.  No link inside a cluster can be missed, and none needs a row.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import exchange as X
@@ -89,7 +88,7 @@ def signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     """did, uid, n (set size), cid (class of equal sets), bands (a hash of each) for each row."""
 
     def run(batches):
-        for b in K.slices(batches):
+        for b in K.slices(batches, most=1 << 20):
             n_docs = b.num_rows
             doc, h = shingles(*K.text_bytes(b.column("text")), width)
             n = np.bincount(doc, minlength=n_docs)
@@ -119,91 +118,124 @@ def sets_of(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("cid", "text").mapInArrow(run, "cid long, items binary")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets have 100 * intersection >= percent * union."""
-    of = lambda c: sets.select(F.col("cid").alias(c), F.col("items").alias(f"items_{c}"))
-    both = pairs.join(of("b"), "b").join(of("a"), "a")
+def joined_pairs(items: list[np.ndarray], block: np.ndarray, across: bool, percent: int) -> list[tuple[int, int]]:
+    """Pairs that link what any chain of pairs with 100 * intersection >= percent * union links.
 
-    def run(batches):
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column("items_a"), b.column("items_b"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                merged = np.concatenate([x, y])
-                merged.sort(kind="stable")
-                common = int((merged[1:] == merged[:-1]).sum())
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    across: only pairs from different blocks count.  Few sets are merged pair
+    by pair; more are multiplied as a 0/1 matrix, some thousand columns at once.
+    """
+    k = len(items)
+    size = np.array([len(x) for x in items], np.int64)
+    parent = list(range(k))
+
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    out = []
+
+    def union(i: int, j: int) -> None:
+        x, y = find(i), find(j)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            out.append((i, j))
+
+    if k <= 8:
+        for i in range(k):
+            for j in range(i):
+                if (across and block[i] == block[j]) or 100 * min(size[i], size[j]) < percent * max(size[i], size[j]) or find(i) == find(j):
+                    continue
+                both = np.concatenate([items[i], items[j]])
+                both.sort(kind="stable")
+                common = int((both[1:] == both[:-1]).sum())
+                if 100 * common >= percent * (size[i] + size[j] - common):
+                    union(i, j)
+        return out
+    owner = np.repeat(np.arange(k), size)
+    _, column, n = np.unique(np.concatenate(items), return_inverse=True, return_counts=True)
+    shared = n[column] > 1
+    owner, column = owner[shared], (np.cumsum(n > 1) - 1)[column[shared]]
+    common = np.zeros((k, k), np.float32)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    width = 4096
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        x, y = np.searchsorted(column, [first, first + width])
+        part = np.zeros((k, width), np.float32)
+        part[owner[x:y], column[x:y] - first] = 1
+        common += part @ part.T
+    common = common.astype(np.int64)
+    link = 100 * common >= percent * (size[:, None] + size[None] - common)
+    if across:
+        link &= block[:, None] != block[None]
+    for i in range(k):
+        for j in np.flatnonzero(link[i, :i]):
+            union(i, int(j))
+    return out
 
-    return both.mapInArrow(run, "a long, b long")
 
+def links(clusters: DataFrame, sets: DataFrame, percent: int, block: int = 256) -> DataFrame:
+    """a, b: links that join all members of clusters which any chain of similar sets joins.
 
-def _fits(percent: int):
-    """Sets whose sizes alone rule the similarity out aren't compared."""
-    return F.lit(100) * F.least("n", "pn") >= F.lit(percent) * F.greatest("n", "pn")
+    clusters: cid, cluster.  A cluster is dealt into blocks of about ``block``
+    sets, and each pair of blocks is one piece of work, so that a cluster of any
+    size is compared as a whole by tasks of bounded size.  What a piece sends on
+    are the edges of a spanning forest, fewer than it has sets.
+    """
+    size = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    dealt = clusters.join(size, "cluster").withColumn("n_blocks", F.ceil(F.col("size") / F.lit(block)).cast("int"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("n_blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    work = dealt.select("cid", "cluster", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")).join(sets, "cid")
+    work = work.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y", "cid")
 
+    def run(batches):
+        key, ids, blocks, items = None, [], [], []
 
-def links(members: DataFrame, sets: DataFrame, percent: int, pivots: int = 8, few: int = 4) -> DataFrame:
-    """Links that join all members of buckets which any chain of confirmed pairs joins: a, b.
+        def solve():
+            pairs = joined_pairs(items, np.array(blocks), key[1] != key[2], percent)
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in pairs], pa.int64()), pa.array([ids[j] for _, j in pairs], pa.int64())], ["a", "b"])
 
-    members: bucket, cid, n, each bucket with two or more.  Pairs of one bucket
-    are tested unless they are in one component already.  A first round tests
-    one pivot of each bucket.  Then members outside their bucket's largest
-    component are tested against ``pivots`` of that component's members, and,
-    when that has no more effect or at most ``few`` pairs per member are left,
-    against all others.
+        for b in batches:
+            columns = [b.column(c).to_pylist() for c in ("cluster", "x", "y", "cid", "block")]
+            for row, item in zip(zip(*columns, strict=True), b.column("items"), strict=True):
+                if key != row[:3]:
+                    if len(ids) > 1:
+                        yield from solve()
+                    key, ids, blocks, items = row[:3], [], [], []
+                ids.append(row[3])
+                blocks.append(row[4])
+                items.append(np.frombuffer(item.as_py(), np.uint64))
+        if len(ids) > 1:
+            yield from solve()
+
+    return work.mapInArrow(run, "a long, b long")
+
+
+def group(docs: DataFrame, width: int = 4, percent: int = 80, bands: int = 40, rows: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """did, uid, n_shingles, rep (the smallest (did, uid) of the component) for each row of docs.
+
+    With 40 bands of 5 places two sets of similarity 0.8 share no band with
+    probability 1e-7, and more similar ones with less.
     """
-    pivot = members.groupBy("bucket").agg(F.min(F.struct("cid", "n")).alias("p"))
-    pairs = members.join(pivot, "bucket").select(F.col("cid").alias("a"), F.col("p.cid").alias("b"), "n", F.col("p.n").alias("pn")).where((F.col("a") != F.col("b")) & _fits(percent)).select("a", "b").distinct()
-    tested = materialise(pairs, "pairs")
-    found = materialise(confirmed(tested, sets, percent), "confirmed")
-    size, last = members.count(), False
-    while True:
-        roots = components(found)
-        placed = members.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("bucket", "cid", "n", F.coalesce("root", "cid").alias("root"))
-        split = placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where(F.col("x") != F.col("y")).select("bucket")
-        placed = materialise(placed.join(split, "bucket", "left_semi"), "placed")
-        shares = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("k"))
-        main = shares.groupBy("bucket").agg(F.max(F.struct("k", "root")).alias("m"), F.sum("k").alias("all"))
-        apart = main.agg(F.sum((F.col("all") - F.col("m.k")) * F.col("all"))).first()[0] or 0
-        if not apart:
-            return found
-        last = last or apart <= few * size
-        rest = placed.join(main.select("bucket", F.col("m.root").alias("main")), "bucket")
-        rest = materialise(rest, "rest")
-        aside = rest.where(F.col("root") != F.col("main"))
-        others = rest
-        if not last:
-            nth = F.row_number().over(W.partitionBy("bucket").orderBy("cid"))
-            others = rest.where(F.col("root") == F.col("main")).withColumn("nth", nth).where(F.col("nth") <= pivots)
-        others = others.select("bucket", F.col("cid").alias("pc"), F.col("n").alias("pn"), F.col("root").alias("pr"))
-        pairs = aside.join(others, "bucket").where((F.col("root") != F.col("pr")) & _fits(percent)).select(F.greatest("cid", "pc").alias("a"), F.least("cid", "pc").alias("b")).distinct()
-        done = tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        fresh = materialise(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-        more = materialise(confirmed(fresh, sets, percent), "confirmed")
-        if last:
-            return found.unionByName(more)
-        last = more.isEmpty()
-        found, tested = materialise(found.unionByName(more), "confirmed"), materialise(tested.unionByName(fresh), "pairs")
-
-
-def group(docs: DataFrame, width: int = 4, percent: int = 80, bands: int = 32, rows: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """did, uid, n_shingles, rep (the smallest (did, uid) of the component) for each row of docs."""
     texts = X.keyed(docs, id_col, text_col)
     marked = materialise(signed(texts, width, bands, rows), "signed")
-    classes = materialise(marked.where(F.col("n") > 0).groupBy("cid").agg(F.min(F.struct("did", "uid")).alias("first"), F.max("n").alias("n"), F.first("bands").alias("bands")), "classes")
-    spread = classes.select("cid", "n", F.explode("bands").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > 1).select("bucket")
-    members = materialise(spread.join(shared, "bucket", "left_semi"), "members")
-    wanted = classes.join(members.select("cid").distinct(), "cid", "left_semi").select("cid", "first.did", "first.uid")
-    sources = texts.join(wanted.hint("shuffle_hash"), ["did", "uid"]).select("cid", "text").dropDuplicates(["cid"])
-    sets = materialise(sets_of(sources, width), "sets")
-    roots = components(links(members, sets, percent))
+    classes = materialise(marked.where(F.col("n") > 0).groupBy("cid").agg(F.min(F.struct("did", "uid")).alias("first"), F.first("bands").alias("bands")), "classes")
+    spread = classes.select("cid", F.explode("bands").alias("bucket"))
+    heads = spread.groupBy("bucket").agg(F.min("cid").alias("head"), F.count(F.lit(1)).alias("k")).where(F.col("k") > 1).select("bucket", "head")
+    stars = spread.join(heads, "bucket").where(F.col("cid") != F.col("head")).select(F.col("cid").alias("a"), F.col("head").alias("b"))
+    clusters = components(stars).toDF("cid", "cluster")
+    wanted = classes.join(clusters.select("cid"), "cid", "left_semi").select("cid", "first.did", "first.uid")
+    sources = texts.join(wanted.hint("shuffle_hash"), ["did", "uid"]).select("cid", "text")
+    sets = materialise(sets_of(sources, width).dropDuplicates(["cid"]), "sets")
+    roots = components(links(clusters, sets, percent))
     forget(sets)
-    placed = materialise(classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "first", F.coalesce("root", "cid").alias("root")), "placed")
+    placed = materialise(classes.select("cid", "first").join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "first", F.coalesce("root", "cid").alias("root")), "placed")
     reps = placed.groupBy("root").agg(F.min("first").alias("rep"))
     of_class = materialise(placed.join(reps, "root").select("cid", "rep"), "reps")
-    both = marked.join(of_class, "cid", "left")
+    both = marked.select("did", "uid", "n", "cid").join(of_class, "cid", "left")
     return both.select("did", "uid", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("rep")).otherwise(F.struct("did", "uid")).alias("rep"))
 
 
