@@ -5,6 +5,8 @@ and there are as many as words or bytes.  As rows they would cost tens of bytes
 and a microsecond each; here a task packs those bound for one bucket into a few
 binary columns, so that an entry costs its fingerprint and two bytes.
 
+Answers go back packed as well, to the bucket of their document.
+
 A task first combines what it holds itself: of equal fingerprints it sends one
 or two and settles the others on the spot.  However often a span is repeated,
 a bucket gets at most that many entries of it from each batch of texts.
@@ -23,12 +25,11 @@ from pyspark.sql import functions as F
 from . import kernels as K
 
 #: Bytes of text that a task handles at once.
-BATCH = 1 << 22
+BATCH = 1 << 21
 LAST = (1 << 63) - 1
-PACKED = "bucket int, n int, keys binary, extra binary, gaps binary, docs binary, did long, uid long, kind byte, spans array<int>"
-ANSWERS = "did long, uid long, kind byte, spans array<int>"
-_PACKED = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("extra", pa.binary()), ("gaps", pa.binary()), ("docs", pa.binary()), ("did", pa.int64()), ("uid", pa.int64()), ("kind", pa.int8()), ("spans", pa.list_(pa.int32()))])
-_ANSWERS = pa.schema([("did", pa.int64()), ("uid", pa.int64()), ("kind", pa.int8()), ("spans", pa.list_(pa.int32()))])
+PACKED = "bucket int, n int, keys binary, extra binary, gaps binary, docs binary, answers binary"
+_PACKED = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), *((c, pa.binary()) for c in ("keys", "extra", "gaps", "docs", "answers"))])
+_ANSWERS = pa.schema([("bucket", pa.int32()), ("answers", pa.binary())])
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -92,28 +93,54 @@ def pack(entries: Entries, docs: Docs, n_buckets: int) -> Iterator[pa.RecordBatc
                 "extra": b"".join(x[take].tobytes() for x in entries.extra),
                 "gaps": gap.astype("<u2" if gap.max(initial=0) < 65536 else "<u4").tobytes(),
                 "docs": table.tobytes(),
-                **dict.fromkeys(("did", "uid", "kind", "spans")),
+                "answers": None,
             }
         )
     if rows:
         yield pa.RecordBatch.from_pylist(rows, _PACKED)
 
 
-def settled(did: np.ndarray, uid: np.ndarray, kind: np.ndarray, spans: np.ndarray, n_buckets: int | None = None) -> Iterator[pa.RecordBatch]:
-    """Answers as rows, spans (one row of numbers each) gathered by document and kind; n_buckets: to pass through an exchange."""
-    if not len(did):
+def settled(docs: Docs, doc: np.ndarray, kind: np.ndarray, spans: np.ndarray, n_buckets: int) -> Iterator[tuple[int, bytes]]:
+    """Answers packed for the buckets of their documents; spans has one row of numbers for each answer."""
+    if not len(doc):
+        return
+    to = (K.mixed(docs.uid.astype(K.U64)) % K.U64(n_buckets)).astype(np.int32)
+    order = np.lexsort((kind, doc, to[doc]))
+    doc, kind, spans = doc[order], kind[order], spans[order]
+    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (kind[1:] != kind[:-1])]))
+    size = np.diff(np.append(new, len(doc))) * spans.shape[1]
+    at, flat = new * spans.shape[1], spans.astype("<i4").ravel()
+    target = to[doc[new]]
+    cut = np.flatnonzero(np.concatenate([[True], target[1:] != target[:-1]]))
+    for a, b in zip(cut, np.append(cut[1:], len(new)), strict=True):
+        own = doc[new[a:b]]
+        head = np.concatenate([docs.did[own], docs.uid[own], kind[new[a:b]], size[a:b]]).astype("<i8")
+        yield int(target[a]), np.array([b - a], "<i8").tobytes() + head.tobytes() + flat[at[a] : at[b - 1] + size[b - 1]].tobytes()
+
+
+def merged(packed: list[bytes], kinds: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+    """One row for each document: did, uid, and its spans of each kind."""
+    heads, spans = [], []
+    for x in packed:
+        n = int(np.frombuffer(x, "<i8", 1)[0])
+        heads.append(np.frombuffer(x, "<i8", 4 * n, 8).reshape(4, n))
+        spans.append(np.frombuffer(x, "<i4", -1, 8 + 32 * n))
+    if not heads:
         return
-    order = np.lexsort((spans[:, 0], kind, uid, did))
-    did, uid, kind, spans = did[order], uid[order], kind[order], spans[order]
-    new = np.flatnonzero(np.concatenate([[True], (did[1:] != did[:-1]) | (uid[1:] != uid[:-1]) | (kind[1:] != kind[:-1])]))
-    lists = K.list_array(spans.astype(np.int32).ravel(), np.diff(np.append(new, len(did))) * spans.shape[1])
-    columns = [pa.array(did[new]), pa.array(uid[new]), pa.array(kind[new].astype(np.int8)), lists]
-    if n_buckets is None:
-        yield pa.RecordBatch.from_arrays(columns, schema=_ANSWERS)
-    else:
-        spread = (K.mixed(uid[new].astype(K.U64)) % K.U64(n_buckets)).astype(np.int32)
-        nothing = [pa.nulls(len(new), _PACKED.field(i).type) for i in range(1, 6)]
-        yield pa.RecordBatch.from_arrays([pa.array(spread), *nothing, *columns], schema=_PACKED)
+    did, uid, kind, size = np.concatenate(heads, 1)
+    flat, start = np.concatenate(spans), np.cumsum(size) - size
+    order, new = groups(did, uid)
+    number = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(order))))
+    columns = [pa.array(did[order[new]]), pa.array(uid[order[new]])]
+    for k in kinds:
+        mine = kind[order] == k
+        take, owner = order[mine], number[mine]
+        n = size[take]
+        index = np.repeat(start[take], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        columns.append(K.list_array(flat[index], np.bincount(owner, n, len(new)).astype(np.int64)))
+    whole = pa.RecordBatch.from_arrays(columns, ["did", "uid", *(f"k{k}" for k in kinds)])
+    for at in range(0, whole.num_rows, 4096):
+        yield whole.slice(at, 4096)
 
 
 def unpack(rows: list[dict], dtypes: tuple) -> tuple[Entries, Docs]:
@@ -140,18 +167,21 @@ def unpack(rows: list[dict], dtypes: tuple) -> tuple[Entries, Docs]:
     return Entries(cat(keys, np.uint64), [cat(x, t) for x, t in zip(extra, dtypes, strict=True)], cat(numbers, np.int32), cat(places, np.int32)), Docs(cat(dids, np.int64), cat(uids, np.int64))
 
 
-def run(texts: DataFrame, carry: list[str], n_buckets: int, send: Callable, decide: Callable, dtypes: tuple) -> DataFrame:
-    """One round: texts (did, uid, text and carry) -> ANSWERS.
+def run(texts: DataFrame, carry: list[str], n_buckets: int, send: Callable, decide: Callable, dtypes: tuple, kinds: tuple[int, ...]) -> DataFrame:
+    """One round: texts (did, uid, text and carry) -> did, uid, k<kind> for documents with answers.
 
     send(raw, edges, batch) gives (Entries, answers); decide(Entries, Docs)
-    gives answers.  Answers are (doc numbers, kinds, spans).
+    gives answers.  Answers are (document numbers, kinds, spans).  Entries
+    travel to the bucket of their fingerprint, answers to that of their document.
     """
 
     def scatter(batches):
         for b in K.slices(batches, most=BATCH):
             docs = Docs(np.asarray(b.column("did")), np.asarray(b.column("uid")))
-            entries, (doc, kind, spans) = send(*K.text_bytes(b.column("text")), b)
-            yield from settled(docs.did[doc], docs.uid[doc], kind, spans, n_buckets)
+            entries, answers = send(*K.text_bytes(b.column("text")), b)
+            rows = [{"bucket": to, "answers": x} for to, x in settled(docs, *answers, n_buckets)]
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, _PACKED)
             yield from pack(entries, docs, n_buckets)
 
     def gather(batches):
@@ -159,28 +189,23 @@ def run(texts: DataFrame, carry: list[str], n_buckets: int, send: Callable, deci
         for b in batches:
             own = np.asarray(b.column("n").is_null())
             if own.any():
-                took = pa.array(np.flatnonzero(own))
-                yield pa.RecordBatch.from_arrays([b.column(c).take(took) for c in _ANSWERS.names], schema=_ANSWERS)
+                yield b.filter(pa.array(own)).select(["bucket", "answers"])
             if not own.all():
                 packed += b.filter(pa.array(~own)).select(["n", "keys", "extra", "gaps", "docs"]).to_pylist()
         if packed:
             entries, docs = unpack(packed, dtypes)
             packed.clear()
-            doc, kind, spans = decide(entries, docs)
-            yield from settled(docs.did[doc], docs.uid[doc], kind, spans)
-
-    sent = texts.select("did", "uid", "text", *carry).mapInArrow(scatter, PACKED)
-    return sent.repartitionById(n_buckets, F.col("bucket")).mapInArrow(gather, ANSWERS)
+            rows = [{"bucket": to, "answers": x} for to, x in settled(docs, *decide(entries, docs), n_buckets)]
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, _ANSWERS)
 
+    def collect(batches):
+        yield from merged([x for b in batches for x in b.column("answers").to_pylist()], kinds)
 
-def by_document(answers: DataFrame, *kinds: int) -> DataFrame:
-    """did, uid and a column k<kind> with all spans of that kind, for each document."""
-    of = lambda k: F.flatten(F.collect_list(F.when(F.col("kind") == k, F.col("spans")))).alias(f"k{k}")
-    return answers.groupBy("did", "uid").agg(*map(of, kinds))
-
-
-def none() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.zeros(0, np.int64), np.zeros(0, np.int8), np.zeros((0, 1), np.int32)
+    sent = texts.select("did", "uid", "text", *carry).mapInArrow(scatter, PACKED)
+    heard = sent.repartitionById(n_buckets, F.col("bucket")).mapInArrow(gather, "bucket int, answers binary")
+    schema = "did long, uid long, " + ", ".join(f"k{k} array<int>" for k in kinds)
+    return heard.repartitionById(n_buckets, F.col("bucket")).mapInArrow(collect, schema)
 
 
 def together(parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -47,9 +47,17 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def mixed(h: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit hashes (the finaliser of splitmix64)."""
-    h = (h ^ (h >> U64(30))) * U64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> U64(27))) * U64(0x94D049BB133111EB)
-    return h ^ (h >> U64(31))
+    return _mix(np.array(h, U64))
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    """mixed() in place."""
+    h ^= h >> U64(30)
+    h *= U64(0xBF58476D1CE4E5B9)
+    h ^= h >> U64(27)
+    h *= U64(0x94D049BB133111EB)
+    h ^= h >> U64(31)
+    return h
 
 
 def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -72,7 +80,17 @@ def prefix_sums(values: np.ndarray, which: int = 0) -> np.ndarray:
 
 def spans(sums: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
     """The hash of values[start:end] for each pair; equal spans have equal hashes wherever they stand."""
-    return mixed((sums[end] - sums[start]) * powers(len(sums), which)[1][start])
+    h = sums[end]
+    h -= sums[start]
+    h *= powers(len(sums), which)[1][start]
+    return _mix(h)
+
+
+def rolling(sums: np.ndarray, width: int, which: int = 0) -> np.ndarray:
+    """spans() of all spans of one width."""
+    h = sums[width:] - sums[:-width]
+    h *= powers(len(sums), which)[1][: len(h)]
+    return _mix(h)
 
 
 IS_BREAK = np.zeros(256, bool)

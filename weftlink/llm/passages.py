@@ -39,7 +39,7 @@ def _windows(raw: np.ndarray, at: np.ndarray, n: int, two: bool) -> tuple:
 
 
 def nominate(texts: DataFrame, n_buckets: int, window: int) -> DataFrame:
-    """Index blocks, probe them with all rolling windows: ANSWERS with the hits' first words."""
+    """Index blocks, probe them with all rolling windows: the hits' first words as k1."""
     block = window // 2
 
     def send(raw, at, _):
@@ -62,11 +62,11 @@ def nominate(texts: DataFrame, n_buckets: int, window: int) -> DataFrame:
         found = order[hit]
         return e.doc[found], np.full(len(found), HIT, np.int8), e.at[found, None]
 
-    return X.run(texts, [], n_buckets, send, decide, ("u1",))
+    return X.run(texts, [], n_buckets, send, decide, ("u1",), (HIT,))
 
 
 def first_only(texts: DataFrame, n_buckets: int, window: int) -> DataFrame:
-    """texts with hits in k1: ANSWERS with the first words of windows that also start earlier."""
+    """texts with hits in k1: the first words of windows that also start earlier, as k2."""
     block = window // 2
 
     def send(raw, at, batch):
@@ -104,17 +104,17 @@ def first_only(texts: DataFrame, n_buckets: int, window: int) -> DataFrame:
         gone = gone[~((did[gone] == did[head]) & (uid[gone] == uid[head]) & (e.at[gone] == e.at[head]))]
         return e.doc[gone], np.full(len(gone), GONE, np.int8), e.at[gone, None]
 
-    return X.run(texts, ["k1"], n_buckets, send, decide, ("<u8",))
+    return X.run(texts, ["k1"], n_buckets, send, decide, ("<u8",), (GONE,))
 
 
 def repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """did, uid, k2: the first words of each document's windows that also start earlier."""
     texts, n = X.keyed(docs, id_col, text_col), X.buckets_for(docs)
     hits = materialise(nominate(texts, n, window), "hits")
-    near = texts.join(X.by_document(hits, HIT).hint("shuffle_hash"), ["did", "uid"])
+    near = texts.join(hits.hint("shuffle_hash"), ["did", "uid"])
     gone = materialise(first_only(near, n, window), "repeats")
     forget(hits)
-    return X.by_document(gone, GONE)
+    return gone
 
 
 def dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:

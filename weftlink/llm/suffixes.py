@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import exchange as X
 from . import kernels as K
-from .common import forget, materialise
+from .common import materialise
 
 TRIGGER, PHRASE = 12, 48
 SURE, CHECK, BOTH, HIT = 1, 2, 3, 4
@@ -42,15 +42,14 @@ def triggers(raw: np.ndarray, at: np.ndarray, sums: np.ndarray) -> tuple[np.ndar
     """Where triggers start, and the texts they are in."""
     if len(raw) < TRIGGER:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    start = np.arange(len(raw) - TRIGGER + 1)
-    found = np.flatnonzero(K.spans(sums, start, start + TRIGGER) % K.U64(PHRASE) == 0)
+    found = np.flatnonzero(K.rolling(sums, TRIGGER) % K.U64(PHRASE) == 0)
     doc = np.searchsorted(at, found, "right") - 1
     whole = found + TRIGGER <= at[doc + 1]
     return found[whole], doc[whole]
 
 
 def parse(texts: DataFrame, n_buckets: int, length: int) -> DataFrame:
-    """ANSWERS with pairs of first and last window start: SURE, CHECK or BOTH."""
+    """Pairs of first and last window start as k1 (SURE), k2 (CHECK) and k3 (BOTH)."""
     reach = ((0, length - (length * 16) // 25), (length - (length * 16) // 25 + 1, length - length // 4))
 
     def send(raw, at, _):
@@ -111,7 +110,7 @@ def parse(texts: DataFrame, n_buckets: int, length: int) -> DataFrame:
         cases = ((SURE, again & ~(mixed & leads)), (BOTH, again & mixed & leads), (CHECK, ~again & mixed))
         return X.together([(e.doc[order[c]], kind, span[order[c]]) for kind, c in cases])
 
-    return X.run(texts, [], n_buckets, send, decide, ("<u8", "u1", "<u2", "<u2"))
+    return X.run(texts, [], n_buckets, send, decide, ("<u8", "u1", "<u2", "<u2"), (SURE, CHECK, BOTH))
 
 
 def _expand(batch: pa.RecordBatch, name: str, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +124,7 @@ def _expand(batch: pa.RecordBatch, name: str, at: np.ndarray) -> tuple[np.ndarra
 
 
 def rims(texts: DataFrame, n_buckets: int, length: int) -> DataFrame:
-    """texts with CHECK and BOTH spans: ANSWERS with the starts of the repeated windows, as HIT."""
+    """texts with CHECK and BOTH spans: the starts of the repeated windows as k4 (HIT)."""
 
     def send(raw, at, batch):
         (doc_a, a), (doc_b, b) = _expand(batch, f"k{CHECK}", at), _expand(batch, f"k{BOTH}", at)
@@ -147,18 +146,15 @@ def rims(texts: DataFrame, n_buckets: int, length: int) -> DataFrame:
         hit = order[np.repeat(again, size) & (flag[order] == 0)]
         return X.together([(e.doc[hit], HIT, e.at[hit, None])])
 
-    return X.run(texts, [f"k{CHECK}", f"k{BOTH}"], n_buckets, send, decide, ("<u8", "u1"))
+    return X.run(texts, [f"k{CHECK}", f"k{BOTH}"], n_buckets, send, decide, ("<u8", "u1"), (HIT,))
 
 
-def repeats(texts: DataFrame, n_buckets: int, length: int) -> DataFrame:
-    """did, uid, k1, k3 (pairs of first and last window start), k4 (starts) of all repeated windows."""
+def repeats(texts: DataFrame, n_buckets: int, length: int) -> tuple[DataFrame, DataFrame]:
+    """Repeated windows: (did, uid, k1, k3: pairs of first and last start) and (did, uid, k4: starts)."""
     parsed = materialise(parse(texts, n_buckets, length), "parse")
-    open_spans = X.by_document(parsed.where(F.col("kind").isin(CHECK, BOTH)), CHECK, BOTH)
+    open_spans = parsed.where(F.size(f"k{CHECK}") + F.size(f"k{BOTH}") > 0).select("did", "uid", f"k{CHECK}", f"k{BOTH}")
     hits = materialise(rims(texts.join(open_spans.hint("shuffle_hash"), ["did", "uid"]), n_buckets, length), "rims")
-    found = materialise(X.by_document(parsed.where(F.col("kind").isin(SURE, BOTH)).unionByName(hits), SURE, BOTH, HIT), "repeats")
-    forget(parsed)
-    forget(hits)
-    return found
+    return parsed.select("did", "uid", f"k{SURE}", f"k{BOTH}"), hits
 
 
 def _dead(batch: pa.RecordBatch, at: np.ndarray, length: int) -> np.ndarray:
@@ -188,10 +184,10 @@ def dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col:
     """
     keep = keep or []
     texts, n = X.keyed(docs, id_col, text_col), X.buckets_for(docs)
-    found = repeats(texts, n, length)
+    whole, single = repeats(texts, n, length)
     did, text = F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(did.alias("doc_id"), text.alias("text"), F.coalesce(did, F.lit(X.LAST)).alias("did"), F.xxhash64(did, text).alias("uid"), *(F.col(f"`{c}`").alias(f"keep_{i}") for i, c in enumerate(keep)))
-    joined = rows.join(found.hint("shuffle_hash"), ["did", "uid"], "left").drop("did", "uid")
+    joined = rows.join(whole.hint("shuffle_hash"), ["did", "uid"], "left").join(single.hint("shuffle_hash"), ["did", "uid"], "left").drop("did", "uid")
     fixed = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
     carried = [f"keep_{i}" for i in range(len(keep))]
 
