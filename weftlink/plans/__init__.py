@@ -1 +1 @@
-"""Plans of the library."""
+"""Shapes that several operators share, and the catalogue of queries."""
