@@ -63,7 +63,7 @@ def learn(docs: DataFrame, labels: DataFrame, domains: tuple, most: int = 4000,
     out; without any, all domains are as likely.
     """
     few = sample(labels.where(F.col("doc_id").isNotNull() & F.col("domain").isin(*domains)).select("doc_id", "domain"), F.col("doc_id"), most)
-    known = docs.select("doc_id", evidence(F.col("text"))["features"].alias("f")).join(F.broadcast(few), "doc_id")
+    known = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("domain", evidence(F.col("text"))["features"].alias("f"))
     of = lambda d: F.sum((F.col("domain") == d).cast("double"))
     counts = known.select("domain", F.explode("f").alias("feature")).groupBy("feature").agg(*(of(d).alias(f"n{i}") for i, d in enumerate(domains)))
     counts = materialise(counts, "evidence")
