@@ -194,7 +194,7 @@ def digit_count(c: Column) -> Column:
 
 def list_items(c: Column) -> Column:
     """The trimmed, non-empty items of a comma-joined list; a null list is empty."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), F.btrim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.btrim(x)), lambda x: x != "")
 
 
 def list_size(c: Column) -> Column:

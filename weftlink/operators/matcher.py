@@ -10,19 +10,19 @@ from pyspark.sql import functions as F
 
 
 def assembled(rows: DataFrame, features: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(rows)
+    return VectorAssembler(inputCols=features, outputCol="__features", handleInvalid="keep").transform(rows)
 
 
 def fit(rows: DataFrame, features: list[str], label: str = "label", positive: float = 1.0, negative: float = 4.0, rounds: int = 40, rate: float = 0.1, depth: int = 5, least: int = 20, seed: int = 42) -> GBTClassificationModel:
     """Boosted trees; negatives weigh more, so precision counts more."""
-    data = assembled(rows.withColumn("w", F.when(F.col(label) == 1, positive).otherwise(negative)).withColumn("y", F.col(label).cast("double")), features)
-    return GBTClassifier(featuresCol="features", labelCol="y", weightCol="w", maxIter=rounds, stepSize=rate, maxDepth=depth, minInstancesPerNode=least, seed=seed).fit(data)
+    data = assembled(rows.withColumn("__w", F.when(F.col(label) == 1, positive).otherwise(negative)).withColumn("__y", F.col(label).cast("double")), features)
+    return GBTClassifier(featuresCol="__features", labelCol="__y", weightCol="__w", maxIter=rounds, stepSize=rate, maxDepth=depth, minInstancesPerNode=least, seed=seed).fit(data)
 
 
 def logits(model: GBTClassificationModel, rows: DataFrame, features: list[str]) -> DataFrame:
     """rows with logit: twice the raw margin, whose sigmoid is the probability."""
     scored = model.transform(assembled(rows, features))
-    return scored.withColumn("logit", 2 * vector_to_array("rawPrediction")[1]).drop("features", "rawPrediction", "probability", "prediction")
+    return scored.withColumn("logit", 2 * vector_to_array("rawPrediction")[1]).drop("__features", "rawPrediction", "probability", "prediction")
 
 
 def audit(gates: dict[str, bool]) -> None:

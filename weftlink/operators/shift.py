@@ -21,8 +21,8 @@ def kish_n_eff(weight: Column) -> Column:
 def domain_probabilities(rows: DataFrame, columns: list[str], target: str = "is_target", c: float = 1.0, keep: tuple = ()) -> DataFrame:
     """keep and prob: P(target | columns) by logistic regression with penalty 1 / (2c)."""
     n = rows.count()
-    data = VectorAssembler(inputCols=columns, outputCol="x").transform(rows.withColumn("y", F.col(target).cast("double")))
-    model = LogisticRegression(featuresCol="x", labelCol="y", regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-8).fit(data)
+    data = VectorAssembler(inputCols=columns, outputCol="__x").transform(rows.withColumn("__y", F.col(target).cast("double")))
+    model = LogisticRegression(featuresCol="__x", labelCol="__y", regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-8).fit(data)
     return model.transform(data).select(*keep, target, vector_to_array("probability")[1].alias("prob"))
 
 
