@@ -72,6 +72,8 @@ class Docs:
 
 
 def pack(entries: Entries, docs: Docs, n_buckets: int) -> Iterator[pa.RecordBatch]:
+    if not len(entries.key):
+        return
     order = np.lexsort((entries.at, entries.doc))
     bucket = ((entries.key[order] & K.U64(0xFFFFFF)) % K.U64(n_buckets)).astype(np.int32)
     by = np.argsort(bucket, kind="stable")
