@@ -91,6 +91,28 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_prefix_free_dedup": r"""
+WITH d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n, hex(encode(coalesce(text, ''))) AS b FROM documents),
+w AS (SELECT doc_id, i, md5(substring(b, 2 * i + 1, 800)) AS h FROM (SELECT doc_id, b, unnest(range(0, greatest(n - 399, 0))) AS i FROM d)),
+s AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+r AS (SELECT doc_id, i FROM w SEMI JOIN s USING (h)),
+g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM
+  (SELECT doc_id, i, (coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400, true))::INT AS new FROM r)),
+p AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS z FROM g GROUP BY doc_id, run),
+q AS (SELECT doc_id, sum(z - a)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans, list(z ORDER BY a) AS zs, list(a ORDER BY a) AS sa FROM p GROUP BY doc_id),
+k AS (SELECT doc_id, b, n, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, list_prepend(0, coalesce(zs, []::BIGINT[])) AS froms, list_append(coalesce(sa, []::BIGINT[]), n) AS tos FROM d LEFT JOIN q USING (doc_id)),
+x AS (SELECT doc_id, unnest(froms) AS f, unnest(tos) AS t, unnest(range(1, len(froms) + 1)) AS o, b FROM k),
+y AS (SELECT doc_id, string_agg(substring(b, 2 * f + 1, 2 * (t - f)), '' ORDER BY o) AS kept FROM x GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, n_removed, n_spans, sha256(unhex(kept)) AS kept_sha256 FROM k JOIN y USING (doc_id)""",
+    "op6_superminhash": r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i+3], ' ') || '|' || least(len(w), 4)) AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, (len(w) > 0)::INT) + 1)) AS i FROM d)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * k >= 80 * (p.n + q.n - k)),
+l AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM d UNION SELECT l.y, r.root FROM r JOIN l ON l.x = r.doc_id WHERE r.root < l.y)
+SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(root) AS component_id, min(root) = d.doc_id AS kept FROM d JOIN r USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY d.doc_id""",
     "op7_block_anchors": r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '') AS words FROM documents),
 w AS (SELECT doc_id, words, unnest(range(0, greatest(len(words) - 19, 0))) AS i FROM d),
