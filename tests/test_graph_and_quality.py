@@ -136,3 +136,5 @@ def test_nearest_by_brute_force(spark):
     rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(6)], "vec_id long, embedding array<double>")
     got = [(r["vec_id"], r["rank"]) for r in SE.nearest(rows.where("vec_id = 2"), rows, 2).orderBy("rank").collect()]
     assert got == [(5, 1), (4, 2)]
+    whole, cut = (sorted(map(tuple, SE.nearest(rows, rows, 3, block=n).collect())) for n in (100, 2))
+    assert whole == cut and len(whole) == 18
