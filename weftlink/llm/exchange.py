@@ -204,10 +204,10 @@ def run(texts: DataFrame, carry: list[str], n_buckets: int, send: Callable, deci
     def collect(batches):
         yield from merged([x for b in batches for x in b.column("answers").to_pylist()], kinds)
 
-    sent = texts.select("did", "uid", "text", *carry).mapInArrow(scatter, PACKED)
-    heard = sent.repartitionById(n_buckets, F.col("bucket")).mapInArrow(gather, "bucket int, answers binary")
+    sent = texts.select("did", "uid", "text", *carry).mapInArrow(K.tidied(scatter), PACKED)
+    heard = sent.repartitionById(n_buckets, F.col("bucket")).mapInArrow(K.tidied(gather), "bucket int, answers binary")
     schema = "did long, uid long, " + ", ".join(f"k{k} array<int>" for k in kinds)
-    return heard.repartitionById(n_buckets, F.col("bucket")).mapInArrow(collect, schema)
+    return heard.repartitionById(n_buckets, F.col("bucket")).mapInArrow(K.tidied(collect), schema)
 
 
 def together(parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

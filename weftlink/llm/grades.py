@@ -68,7 +68,7 @@ def bags(texts: DataFrame, bits: int, *carry: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carry), K.list_array(key.astype(np.int32), np.bincount(row, minlength=b.num_rows))], [*carry, "idx"])
 
     schema = ", ".join(f"{c} {dict(texts.dtypes)[c]}" for c in carry)
-    return texts.select(*carry, "text").mapInArrow(find, f"{schema}, idx array<int>")
+    return texts.select(*carry, "text").mapInArrow(K.tidied(find), f"{schema}, idx array<int>")
 
 
 def sigmoid(z):
@@ -144,7 +144,7 @@ def grade(docs: DataFrame, model: Model, target: int = 2, least: float = 0.5) ->
             tail = p[:, target - 1]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(p.sum(1)), pa.array(tail), pa.array(tail >= least)], ["doc_id", "expected_grade", "tail", "kept"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(score, "doc_id long, expected_grade double, tail double, kept boolean")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(K.tidied(score), "doc_id long, expected_grade double, tail double, kept boolean")
 
 
 def graded(quality: Column, toxic: Column) -> Column:

@@ -46,7 +46,7 @@ def subwords(raw: np.ndarray, order: int, bits: int) -> np.ndarray:
 
 
 def bags(texts: DataFrame, bits: int, *carry: str) -> DataFrame:
-    """carry, idx, weight: each text's buckets and their share of its subwords."""
+    """carry, idx, weight: each text's buckets and their share of its subwords, as packed int32 and float32."""
 
     def count(batches):
         for b in K.slices(batches):
@@ -61,11 +61,12 @@ def bags(texts: DataFrame, bits: int, *carry: str) -> DataFrame:
             row, key, n = K.distinct_by_row(np.concatenate(rows), np.concatenate(keys), bits)
             total = np.bincount(row, n, b.num_rows)
             sizes = np.bincount(row, minlength=b.num_rows)
-            columns = [b.column(c) for c in carry]
-            yield pa.RecordBatch.from_arrays([*columns, K.list_array(key.astype(np.int32), sizes), K.list_array((n / total[row]).astype(np.float32), sizes)], [*carry, "idx", "weight"])
+            ends = np.cumsum(sizes)[:-1]
+            packed = [pa.array([x.tobytes() for x in np.split(v, ends)], pa.binary()) for v in (key.astype("<i4"), (n / total[row]).astype("<f4"))]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carry), *packed], [*carry, "idx", "weight"])
 
     schema = ", ".join(f"{c} {dict(texts.dtypes)[c]}" for c in carry)
-    return texts.select(*carry, "text").mapInArrow(count, f"{schema}, idx array<int>, weight array<float>")
+    return texts.select(*carry, "text").mapInArrow(K.tidied(count), f"{schema}, idx binary, weight binary")
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -81,7 +82,7 @@ def train(rows: list, bits: int, dim: int = 16, epochs: int = 12, rate: float =
     number = {x: i for i, x in enumerate(languages)}
     rng = np.random.default_rng(seed)
     embed, soft, bias = rng.normal(0, 0.1, (1 << bits, dim)), rng.normal(0, 0.1, (dim, len(languages))), np.zeros(len(languages))
-    data = [(number[a], np.asarray(i), np.asarray(w, float)) for a, i, w in rows]
+    data = [(number[a], i, w) for a, i, w in rows]
     fit = [x for k, x in enumerate(data) if k % 5 or len(data) < 10]
     apart = [x for k, x in enumerate(data) if k % 5 == 0] or fit
     steps, done = epochs * len(fit), 0
@@ -138,7 +139,8 @@ def learn(docs: DataFrame, usable: Column, most: int = 3000, bits: int = 15) ->
     """
     rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text", "lang")
     few = sample(rows, F.col("doc_id"), most)
-    return train([(r["lang"], r["idx"], r["weight"]) for r in bags(few, bits, "doc_id", "lang").orderBy("doc_id").toLocalIterator() if r["idx"]], bits)
+    found = bags(few, bits, "doc_id", "lang").orderBy("doc_id").toLocalIterator()
+    return train([(r["lang"], np.frombuffer(r["idx"], "<i4"), np.frombuffer(r["weight"], "<f4")) for r in found if r["idx"]], bits)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -170,4 +172,4 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             names = pa.array([m.languages[i] if k else "und" for i, k in zip(best, known, strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), names, pa.array(score), pa.array(known & (score >= m.accept))], ["doc_id", "lang_pred", "score", "accepted"])
 
-    return rows.mapInArrow(predict, "doc_id long, lang_pred string, score double, accepted boolean")
+    return rows.mapInArrow(K.tidied(predict), "doc_id long, lang_pred string, score double, accepted boolean")

@@ -102,7 +102,7 @@ def signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
             band = K.mixed(band + np.arange(bands, dtype=np.uint64)[None]).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("did"), b.column("uid"), pa.array(n.astype(np.int64)), pa.array(cid), K.list_array(band.reshape(-1), np.full(n_docs, bands))], ["did", "uid", "n", "cid", "bands"])
 
-    return docs.mapInArrow(run, "did long, uid long, n long, cid long, bands array<long>")
+    return docs.mapInArrow(K.tidied(run), "did long, uid long, n long, cid long, bands array<long>")
 
 
 def sets_of(docs: DataFrame, width: int) -> DataFrame:
@@ -115,7 +115,7 @@ def sets_of(docs: DataFrame, width: int) -> DataFrame:
             items = [h[x:y].tobytes() for x, y in zip(edge[:-1], edge[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array(items, pa.binary())], ["cid", "items"])
 
-    return docs.select("cid", "text").mapInArrow(run, "cid long, items binary")
+    return docs.select("cid", "text").mapInArrow(K.tidied(run), "cid long, items binary")
 
 
 def joined_pairs(items: list[np.ndarray], block: np.ndarray, across: bool, percent: int) -> list[tuple[int, int]]:
@@ -211,7 +211,7 @@ def links(clusters: DataFrame, sets: DataFrame, percent: int, block: int = 256)
         if len(ids) > 1:
             yield from solve()
 
-    return work.mapInArrow(run, "a long, b long")
+    return work.mapInArrow(K.tidied(run), "a long, b long")
 
 
 def group(docs: DataFrame, width: int = 4, percent: int = 80, bands: int = 40, rows: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

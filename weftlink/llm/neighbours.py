@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import kernels as K
 from .language import sample
 
 FOUND = "query_id long, vec_id long, score double"
@@ -103,7 +104,7 @@ def search(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col
                     yield pa.RecordBatch.from_arrays([b.column("vec_id").take(take), b.column("vector").take(take), pa.array(pivot.astype(np.int32))], ["id", "vector", "pivot"])
 
         kind = dict(vectors.dtypes)["vector"]
-        return lambda df: df.select("vec_id", "vector").mapInArrow(run, f"id long, vector {kind}, pivot int")
+        return lambda df: df.select("vec_id", "vector").mapInArrow(K.tidied(run), f"id long, vector {kind}, pivot int")
 
     posted, asked = homes(post)(indexed), homes(probe_n)(queries)
     # sizes of the files and of their audiences: one row for each pivot, whatever the input

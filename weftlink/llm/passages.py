@@ -151,4 +151,4 @@ def dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: s
             columns = [b.column("doc_id"), pa.array(np.diff(edge).astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(digests)]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.string())] * with_text, ["doc_id", "n_words", "n_removed", "kept_sha256", *["text"] * with_text])
 
-    return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text)
+    return joined.mapInArrow(K.tidied(cut), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text)

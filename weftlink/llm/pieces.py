@@ -15,7 +15,8 @@ An input is composed with them position by position, and the shortest path in
 the tropical semiring (minimum, plus) is its encoding.  Where no piece spans
 the boundary before a space symbol, the path runs through each boundary, so
 words are solved one at a time and remembered; otherwise whole texts are.
-So are the parts of a word between characters that stand together in no piece.
+Runs of letters and of other characters that stand together in no piece are
+words of their own.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from . import kernels as K
 SPACE = "▁"
 INF = float("inf")
 FINAL = ""
-_KEEP = 500_000  # words and neighbour pairs that a worker remembers
+_KEEP = 200_000  # words, and neighbour pairs, that a worker remembers
 
 
 class Transducer:
@@ -79,14 +80,39 @@ class Transducer:
             return node.get(FINAL), {c: state(x) for c, x in node.items() if c != FINAL}
 
         self.trie = state(build)
+        self.longest = max(map(len, self.id), default=0)
         # a boundary between two characters that no piece spans is on every path
         self.spanned = {s[k : k + 2] for s in self.id for k in range(len(s) - 1)}
-        inner = re.escape("".join(sorted({c for pair in self.spanned for c in pair if c != SPACE})))
         self.by_word = not any(b == SPACE and a != SPACE for a, b in self.spanned)
-        self.word = re.compile(f"{SPACE}*[{inner}]+|{SPACE}+|." if inner else ".", re.DOTALL)
+        main, rest = self._families()
+        families = [f"{SPACE}*[{re.escape(x)}]+" for x in (main, rest) if x]
+        self.word = re.compile("|".join([*families, f"{SPACE}+", "."]), re.DOTALL)
         self.written = [bytes([int(p.piece[3:5], 16)]) if p.type == kinds["byte"] else b"" if p.type == 3 else " ⁇ ".encode() if p.type == 2 else p.piece.replace(SPACE, " ").encode() for p in proto.pieces]
         self._pairs: dict[int, bool] = {}
         self._words: dict = {}
+        self._older: dict = {}
+
+    def _families(self) -> tuple[str, str]:
+        """Characters that pieces chain together most widely, such as letters, and all others that pieces join."""
+        parent: dict = {}
+
+        def find(c: str) -> str:
+            while parent.setdefault(c, c) != c:
+                parent[c] = parent[parent[c]]
+                c = parent[c]
+            return c
+
+        for a, b in (p for p in self.spanned if SPACE not in p):
+            parent[find(a)] = find(b)
+        for a, b in self.spanned:
+            for c in (a, b):
+                if c != SPACE:
+                    find(c)
+        sizes: dict = {}
+        for c in parent:
+            sizes.setdefault(find(c), []).append(c)
+        main = max(sizes.values(), key=lambda x: (len(x), x), default=[])
+        return "".join(sorted(main)), "".join(sorted(set(parent) - set(main)))
 
     def normalise(self, text: str) -> str:
         if self.squeeze:
@@ -117,16 +143,13 @@ class Transducer:
 
     def shortest(self, s: str) -> list[int]:
         """The ids on the shortest path of the composition with a normalised string."""
-        n = len(s)
-        pieces, starts = (self._beside_path if self.bpe else self._weighted_path)(s, n)
-        at, path = n, []
-        while at:
-            path.append([pieces[at]] if pieces[at] >= 0 else self.fallback(s[starts[at] : at]))
-            at = starts[at]
-        return list(chain.from_iterable(reversed(path)))
+        starts, pieces = (self._beside_path if self.bpe else self._weighted_path)(s, len(s))
+        if -1 not in pieces:
+            return pieces
+        return list(chain.from_iterable([piece] if piece >= 0 else self.fallback(s[start]) for start, piece in zip(starts, pieces, strict=True)))
 
-    def _weighted_path(self, s: str, n: int) -> tuple[list, list]:
-        """For each position the last piece of its shortest path (-1: none) and that piece's start."""
+    def _weighted_path(self, s: str, n: int) -> tuple[list[int], list[int]]:
+        """Starts and pieces along the path of least weight; piece -1 is a character that no piece spells."""
         pieces, starts, cost = [-1] * (n + 1), [0] * (n + 1), [INF] * (n + 1)
         cost[0] = 0.0
         weight = self.weight
@@ -143,56 +166,77 @@ class Transducer:
                         cost[end + 1], pieces[end + 1], starts[end + 1] = before + weight[piece], piece, at
             if not single and before + self.no_piece < cost[at + 1]:
                 cost[at + 1], pieces[at + 1], starts[at + 1] = before + self.no_piece, -1, at
-        return pieces, starts
-
-    def _beside_path(self, s: str, n: int) -> tuple[list, list]:
-        """The same for a BPE model: a position has one state of finite weight, its last piece."""
-        pieces, starts = [-2] * (n + 1), [0] * (n + 1)
-        first, pairs = self.trie[1], self._pairs
-        for at in range(n):
-            last = pieces[at] if at else -3
-            if last == -2:
-                continue
-            arcs, single, base = first, False, (last + 3) << 20
-            for end in range(at, n):
-                state = arcs.get(s[end])
-                if state is None:
-                    break
-                piece, arcs = state
-                if piece is None:
+        at, path = n, []
+        while at:
+            path.append(at)
+            at = starts[at]
+        return [starts[at] for at in reversed(path)], [pieces[at] for at in reversed(path)]
+
+    def _beside_path(self, s: str, n: int) -> tuple[list[int], list[int]]:
+        """The same for a BPE model, whose weights are 0 and infinity.
+
+        A position has one state of finite weight, its last piece.  The search
+        goes along the longest arc first and remembers positions that lead
+        nowhere, so it looks at few positions besides those on the path.
+        """
+        first, pairs, longest = self.trie[1], self._pairs, self.longest
+        starts, pieces, ways, dead = [], [], [], set()
+        at, last, arcs = 0, -3, None
+        while at < n:
+            if arcs is None:  # (end, piece) of the arcs that start here, the shortest first
+                arcs, states, end = [], first, at
+                for c in s[at : at + longest]:
+                    state = states.get(c)
+                    if state is None:
+                        break
+                    end += 1
+                    piece, states = state
+                    if piece is not None:
+                        arcs.append((end, piece))
+                if not arcs or arcs[0][0] > at + 1:
+                    arcs.insert(0, (at + 1, -1))
+            while arcs:
+                end, piece = arcs.pop()
+                if end in dead:
                     continue
-                if end == at:
-                    single = True
-                if pieces[end + 1] == -2:
-                    if last == -1:  # a character without a piece: not known by its number
-                        fits = self.merged(s[starts[at] : end + 1]) == [s[starts[at] : at], s[at : end + 1]]
-                    else:
-                        fits = pairs.get(base + piece)
-                        if fits is None:
-                            fits = self.beside(base + piece, s[starts[at] : at], s[at : end + 1])
-                    if fits:
-                        pieces[end + 1], starts[end + 1] = piece, at
-            if not single and pieces[at + 1] == -2 and len(self.merged(s[starts[at] : at + 1])) == 1 + (at > 0):
-                pieces[at + 1], starts[at + 1] = -1, at
-        return pieces, starts
+                if last == -1 or piece == -1:  # a character without a piece has no number to be remembered by
+                    left = [s[starts[-1] : at]] if starts else []
+                    fits = self.merged("".join(left) + s[at:end]) == [*left, s[at:end]]
+                else:
+                    key = ((last + 3) << 20) + piece
+                    fits = pairs.get(key)
+                    if fits is None:
+                        fits = self.beside(key, s[starts[-1] : at] if starts else "", s[at:end])
+                if fits:
+                    starts.append(at)
+                    pieces.append(piece)
+                    ways.append(arcs)
+                    at, last, arcs = end, piece, None
+                    break
+            else:
+                dead.add(at)
+                at, arcs = starts.pop(), ways.pop()
+                pieces.pop()
+                last = pieces[-1] if pieces else -3
+        return starts, pieces
 
     def fallback(self, c: str) -> list[int]:
         return [self.byte[b] for b in c.encode("utf-8", "replace")] if len(self.byte) == 256 else [self.unknown]
 
     def solved(self, s: str) -> list[int]:
-        """The ids of a word, put together from its parts between boundaries that no piece spans."""
-        if len(self._words) >= _KEEP:
-            self._words.clear()
-        cuts = [0, *(k for k in range(1, len(s)) if s[k - 1 : k + 1] not in self.spanned), len(s)]
-        if len(cuts) == 2:
-            got = self.shortest(s)
-        else:
-            parts = [s[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-            got = list(chain.from_iterable(self._words.get(p) or self.solved(p) for p in parts))
+        """The ids of a word, from those seen lately or along its path."""
+        got = self._older.get(s) or self.shortest(s)
         if len(s) <= 64:
+            if len(self._words) >= _KEEP:  # words not seen since the last time are forgotten
+                self._words, self._older = {}, self._words
             self._words[s] = got
         return got
 
+    def forget(self) -> None:
+        """Give back the memory of remembered words, which the machines don't need."""
+        self._words, self._older = {}, {}
+        self._pairs.clear()
+
     def encode(self, text: str) -> list[int]:
         s = self.normalise(text)
         if not self.by_word:
@@ -238,6 +282,7 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "
 
     def run(batches):
         t = _transducer(name)
+        t.forget()  # an earlier task may have been stopped midway
         for b in K.slices(batches, "__text"):
             ids, sizes, same = [], [], []
             for text in b.column("__text").to_pylist():
@@ -251,13 +296,14 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "
             if check_col:
                 columns.append(pa.array(same))
             yield pa.RecordBatch.from_arrays(columns, [*keep, ids_col, *[check_col] * bool(check_col)])
+        t.forget()
 
     from pyspark.sql import types as T
 
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
     if check_col:
         schema = schema.add(check_col, "boolean")
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(K.tidied(run), schema)
 
 
 def decode(docs: DataFrame, model: str, ids_col: str = "token_ids", text_col: str = "text") -> DataFrame:
