@@ -24,7 +24,7 @@ def test_stages_equal_brute_force_one_after_the_other(spark, tmp_path):
     assert near.columns == columns and _ids(near) == [r["doc_id"] for r in first]
     # long repeats
     cut = spark.read.parquet(_write(P.long_repeats(spark, near, SF), tmp_path / "3"))
-    removed = {r["doc_id"]: b[1] for r, b in zip(first, byte_brute([r["text"] for r in first], 400), strict=True)}
+    removed = {r["doc_id"]: b[1] for r, b in zip(first, byte_brute([r["text"] for r in first], 200), strict=True)}
     texts = {r["doc_id"]: r["text"] for r in first}
     assert cut.columns == columns and _ids(cut) == _ids(near)
     for r in cut.collect():

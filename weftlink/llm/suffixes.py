@@ -33,16 +33,16 @@ from . import exchange as X
 from . import kernels as K
 from .common import materialise
 
-TRIGGER, PHRASE = 12, 48
+TRIGGER = 12
 SURE, CHECK, BOTH, HIT = 1, 2, 3, 4
 _LEFT = (K.U64(0x9E3779B97F4A7C15), K.U64(0xD1B54A32D192ED03))
 
 
-def triggers(raw: np.ndarray, at: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where triggers start, and the texts they are in."""
+def triggers(raw: np.ndarray, at: np.ndarray, sums: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where triggers start, and the texts they are in; about eight to a window."""
     if len(raw) < TRIGGER:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    found = np.flatnonzero(K.rolling(sums, TRIGGER) % K.U64(PHRASE) == 0)
+    found = np.flatnonzero(K.rolling(sums, TRIGGER) % K.U64(max(8, length // 8)) == 0)
     doc = np.searchsorted(at, found, "right") - 1
     whole = found + TRIGGER <= at[doc + 1]
     return found[whole], doc[whole]
@@ -54,7 +54,7 @@ def parse(texts: DataFrame, n_buckets: int, length: int) -> DataFrame:
 
     def send(raw, at, _):
         sums, other = K.prefix_sums(K.BYTE[0][raw], 0), K.prefix_sums(K.BYTE[1][raw], 1)
-        t, doc = triggers(raw, at, sums)
+        t, doc = triggers(raw, at, sums, length)
         before = np.concatenate([[-1], t[:-1]]) if len(t) else t
         first = np.maximum(before + 1, at[doc])
         d_hi, d_lo = t - first, np.maximum(0, t - (at[doc + 1] - length))
@@ -215,7 +215,7 @@ def dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col:
     from pyspark.sql import types as T
 
     schema = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(c, T.LongType()) for c in fixed[1:4]), T.StructField("kept_sha256", T.StringType()), T.StructField("kept_text", T.StringType()), *(T.StructField(c, kinds[c]) for c in carried)])
-    out = joined.mapInArrow(cut, schema)
+    out = joined.mapInArrow(K.tidied(cut), schema)
     return out.select(*fixed, *(F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)))
 
 
