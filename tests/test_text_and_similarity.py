@@ -84,3 +84,18 @@ def test_jaro_winkler_values(spark):
 def test_jaro_winkler_bounds(a, b):
     assert 0 <= S.jaro_winkler_of(a, b) <= 1 + 1e-12
     assert (S.jaro_winkler_of(a, b) == 1.0) == (a == b)
+
+
+def test_optional_similarities(spark, one):
+    lit = F.lit
+    assert one(S.common_suffix(lit("abxcd"), lit("zcd"))) == 2
+    assert one(S.word_ngram_jaccard(lit("a b c"), lit("a b d"))) == pytest.approx(1 / 3) and one(S.word_ngram_jaccard(lit("a"), lit("a b"))) == 0.0
+    assert one(S.token_set_ratio(lit("acme tools"), lit("tools acme gmbh"))) == 1.0
+    assert one(S.token_set_ratio(lit("ab"), lit("cd"))) == 0.0
+    assert (S.damerau_of("abcd", "acbd"), S.damerau_of("", "ab"), S.damerau_of("ca", "abc")) == (1, 2, 3)
+    assert S.monge_elkan_of("acme tools", "tools of acme") == 1.0 and S.monge_elkan_of("", "") == 1.0 and S.monge_elkan_of("a", "") == 0.0
+    rows = spark.createDataFrame([("abcd", "acbd"), (None, "a")], "a string, b string")
+    assert sorted(str(r[0]) for r in rows.select(S.damerau(F.col("a"), F.col("b"))).collect()) == ["1", "None"]
+    assert rows.select(S.monge_elkan(F.col("a"), F.col("b"))).count() == 2
+    assert one(S.directions_differ(lit("acme north"), lit("acme south"))) and not one(S.directions_differ(lit("acme north"), lit("acme")))
+    assert one(S.must_stay_apart(lit("acme"), lit("zorblax"), lit("x 1"), lit("x 1"))) and not one(S.must_stay_apart(lit("acme"), lit("acme"), lit("x 1"), lit("x 1")))

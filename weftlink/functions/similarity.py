@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, IntegerType
 
 from .text import char_ngrams, sorted_tokens, tokens
 
@@ -99,3 +99,77 @@ def common_prefix(a: Column, b: Column) -> Column:
     n = F.least(F.char_length(a), F.char_length(b))
     differs = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1)))
     return F.when(n == 0, 0).when(F.size(differs) == 0, n).otherwise(differs[0] - 1)
+
+
+def common_suffix(a: Column, b: Column) -> Column:
+    """The number of equal last characters."""
+    return common_prefix(F.reverse(a), F.reverse(b))
+
+
+def word_ngram_jaccard(a: Column, b: Column, n: int = 2) -> Column:
+    """Of the sets of n words in a row; 0 if either text has fewer."""
+
+    def grams(c: Column) -> Column:
+        words = tokens(c)
+        runs = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
+        return F.when(F.size(words) < n, F.array().cast("array<string>")).otherwise(F.array_distinct(runs))
+
+    return set_jaccard(grams(a), grams(b))
+
+
+def token_set_ratio(a: Column, b: Column) -> Column:
+    """The best ratio among the shared words and the shared words with either side's own."""
+    x, y = F.array_sort(F.array_distinct(tokens(a))), F.array_sort(F.array_distinct(tokens(b)))
+    both = F.array_intersect(x, y)
+    shared = F.array_join(both, " ")
+    left = F.btrim(F.concat_ws(" ", shared, F.array_join(F.array_except(x, y), " ")))
+    right = F.btrim(F.concat_ws(" ", shared, F.array_join(F.array_except(y, x), " ")))
+    return F.when(F.size(both) == 0, levenshtein_ratio(left, right)).otherwise(F.greatest(levenshtein_ratio(shared, left), levenshtein_ratio(shared, right), levenshtein_ratio(left, right)))
+
+
+def damerau_of(a: str, b: str) -> int:
+    """Edit distance in which a swap of neighbours is one step and nothing is edited twice."""
+    before, last = [], list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            best = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                best = min(best, before[j - 2] + 1)
+            row.append(best)
+        before, last = last, row
+    return last[-1]
+
+
+@F.pandas_udf(IntegerType())
+def damerau(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else damerau_of(x, y) for x, y in zip(a, b, strict=True)], dtype="Int64")
+
+
+def monge_elkan_of(a: str, b: str) -> float:
+    """The mean over a's words of the best Jaro-Winkler similarity with one of b's."""
+    x, y = a.split(), b.split()
+    if not x or not y:
+        return float(not x and not y)
+    return sum(max(jaro_winkler_of(s, t) for t in y) for s in x) / len(x)
+
+
+@F.pandas_udf(DoubleType())
+def monge_elkan(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else monge_elkan_of(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+# Words that tell branches of one firm apart.
+DIRECTIONS = ("north", "south", "east", "west", "central")
+
+
+def directions_differ(a: Column, b: Column) -> Column:
+    """Whether both texts name directions, and not the same ones."""
+    named = lambda c: F.array_sort(F.array_intersect(tokens(c), F.array(*map(F.lit, DIRECTIONS))))
+    x, y = named(a), named(b)
+    return (F.size(x) > 0) & (F.size(y) > 0) & (x != y)
+
+
+def must_stay_apart(name_a: Column, name_b: Column, addr_a: Column, addr_b: Column, least: float = 0.5) -> Column:
+    """Same address but unlike names, or different branches: a reason against merging."""
+    return ((addr_a == addr_b) & (addr_a != "") & (levenshtein_ratio(name_a, name_b) < least)) | directions_differ(name_a, name_b)
