@@ -83,6 +83,15 @@ def host_rates(judged: DataFrame) -> DataFrame:
     return hosts.select("host", ((F.col("failed") + mean * strength) / (F.col("n") + strength)).alias("host_rate"))
 
 
+#: Up to so many hosts are sent to all tasks; more are joined by shuffling.
+FEW_HOSTS = 100_000
+
+
+def sent(hosts: DataFrame) -> DataFrame:
+    """The hosts, marked for broadcast if there are few: documents then stay where they are."""
+    return F.broadcast(hosts) if hosts.limit(FEW_HOSTS + 1).count() <= FEW_HOSTS else hosts
+
+
 def host_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = 10, max_repeat_pct: int = 20, max_host_rate: float = 0.5) -> DataFrame:
     """Judge documents by their own rules, then by their host.
 
@@ -95,7 +104,7 @@ def host_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counts = materialise(rule_counts(docs, id_col, text_col, host_col), "rules")
     judged = counts.withColumn("base_failed", failing(min_words, max_repeat_pct))
     verdict = ~F.col("base_failed") & (F.coalesce("host_rate", F.lit(0.0)) <= max_host_rate)
-    return judged.join(host_rates(judged), "host", "left").withColumn("kept", verdict)
+    return judged.join(sent(host_rates(judged)), "host", "left").withColumn("kept", verdict)
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source", min_words: int = 10, max_repeat_pct: int = 20, max_host_rate: float = 0.5) -> DataFrame:
@@ -109,6 +118,6 @@ def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source",
         "judged",
     )
     rates = host_rates(judged.select(F.col("__host").alias("host"), F.col("__failed").alias("base_failed")))
-    rates = rates.select(F.col("host").alias("__host"), F.col("host_rate").alias("__rate"))
-    good = judged.where(~F.col("__failed")).join(rates, "__host", "left").where(F.coalesce("__rate", F.lit(0.0)) <= max_host_rate)
+    bad = rates.where(F.col("host_rate") > max_host_rate).select(F.col("host").alias("__host"))
+    good = judged.where(~F.col("__failed")).join(sent(bad), "__host", "left_anti")
     return good.select(*(F.col(f"`{c}`") for c in docs.columns))
