@@ -13,7 +13,12 @@ from pyspark.sql import functions as F
 #: Characters between words, wherever a contract speaks of words.
 BREAKS = " \t\n\x0b\x0c\r"
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: What holds while a table is written: shuffle files go at its end, and batches
+#: for Python are short, since a row can be a whole text.
+_WHILE_WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+}
 _written: list[str] = []
 
 
@@ -40,16 +45,14 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weftlink-{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, None)
-    with contextlib.suppress(Exception):  # a setting that some releases lack
-        spark.conf.set(_CLEANUP, "true")
+    before = {k: spark.conf.get(k, None) for k in _WHILE_WRITING}
     try:
+        for k, v in _WHILE_WRITING.items():
+            spark.conf.set(k, v)
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     _remember(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
