@@ -49,6 +49,31 @@ def test_many_copies_of_one_vector(rows):
     assert hot and all(got[q] == want[q] for q in hot)
 
 
+def test_repeated_rows_take_no_places(rows):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 8)).astype(np.float32)
+    x[5:31] = x[5]
+    ids = np.arange(40)
+    want = brute(ids, x.astype(float), 20, 20)
+    again = np.r_[ids, np.full(30, 5)]
+    assert found(N.search(frame(rows, again, x[again]), F.col("vec_id") % 20 == 0)) == want
+    twice = np.r_[ids, ids]
+    assert found(N.search(frame(rows, twice, x[twice]), F.col("vec_id") % 20 == 0)) == want
+
+
+def test_one_id_with_many_near_vectors_takes_one_place(rows):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 8)).astype(np.float32)
+    x[100:] = x[0] * 3 + rng.normal(size=(300, 8)) / 100
+    ids = np.r_[np.arange(100), np.full(300, 1001)]
+    got = found(N.search(frame(rows, ids, x), F.col("vec_id") == 0, n_pivots=16, post=16))[0]
+    scores = {}
+    for i, s in zip(ids[1:], (x[1:].astype(float) * x[0].astype(float)).sum(1), strict=True):
+        scores[int(i)] = max(s, scores.get(int(i), s))
+    want = sorted(scores.items(), key=lambda a: (-a[1], a[0]))[:20]
+    assert [v for v, _ in got] == [v for v, _ in want] and np.allclose([s for _, s in got], [s for _, s in want])
+
+
 def test_few_rows_are_all_found(rows):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(12, 8)).astype(np.float32)

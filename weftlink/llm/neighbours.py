@@ -10,7 +10,8 @@ Pivots are a bounded sample; every row is indexed.  Files are cut into pieces
 of bounded size, and so are the queries that open them, so no task holds a
 whole file.  Of identical vectors only the smallest ids can be among a query's
 nearest, ties going to smaller ids; the others are left out before posting by a
-window limit that runs before the shuffle.
+window limit that runs before the shuffle.  All limits count ids, not rows:
+repeated rows go first, and an id with several vectors takes one place.
 """
 
 from __future__ import annotations
@@ -73,14 +74,14 @@ def search(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col
     """The k rows of largest inner product found for each query row.
 
     post: files that a vector is posted in; probe: share of the files that a
-    query opens, 48 at least; rerank: share of a file's piece that is reranked,
-    128 rows at least.  With up to 48 different vectors everything is opened.
+    query opens, 48 at least; rerank: share of the ids of a file's piece that
+    are reranked, 128 ids at least.  With up to 48 different vectors everything is opened.
 
     Returns query_id, rank (from 1), vec_id, score; a query's own row is no
     candidate, ties go to smaller ids.  Rows take no part whose id is null or
     whose vector is null, empty, zero, holds null or non-finite components, or
     differs in length from the shortest usable vector.  Rows that share an id
-    count once in a result.  Other columns are ignored.
+    count once in a result, with their best score.  Other columns are ignored.
     """
     vectors = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks")).where(F.col("vec_id").isNotNull() & usable(F.col("vector")))
     size = vectors.agg(F.min(F.size("vector"))).first()[0]
@@ -91,8 +92,8 @@ def search(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col
     pivots = choose_pivots(vectors, n_pivots)
     n = len(pivots)
     post, probe_n = min(post, n), min(n, max(48, math.ceil(probe * n)))
-    indexed = vectors.withColumn("__n", F.row_number().over(W.partitionBy("vector").orderBy("vec_id"))).where(F.col("__n") <= k + 1)
-    queries = vectors.where("asks")
+    indexed = vectors.select("vec_id", "vector").distinct().withColumn("__n", F.row_number().over(W.partitionBy("vector").orderBy("vec_id"))).where(F.col("__n") <= k + 1)
+    queries = vectors.where("asks").select("vec_id", "vector").distinct()
 
     def homes(width: int):
         def run(batches):
@@ -121,15 +122,22 @@ def search(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col
             ids, v = np.asarray(files.column("id").combine_chunks()), matrix(files.column("vector"))
             order = np.argsort(ids, kind="stable")
             ids, v = ids[order], v[order]
+            starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+            n_ids, nth_id = len(starts), np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(ids)]))
             q_ids, q = np.asarray(asks.column("id").combine_chunks()), matrix(asks.column("vector"))
             r_v, r_q = np.ascontiguousarray(ranks(v, pivots).T), ranks(q, pivots)
-            few = min(len(ids), max(128, math.ceil(rerank * len(ids))) + 1)
+            few = min(n_ids, max(128, math.ceil(rerank * n_ids)) + 1)
             for first in range(0, len(q), 32):
                 for i, distance in enumerate(footrule(r_q[first : first + 32], r_v), first):
-                    near = np.argpartition(distance, few - 1)[:few] if few < len(ids) else np.arange(len(ids))
-                    near = np.sort(near[ids[near] != q_ids[i]])
+                    near = np.arange(len(ids))
+                    if few < n_ids:
+                        chosen = np.zeros(n_ids, bool)
+                        chosen[np.argpartition(np.minimum.reduceat(distance, starts), few - 1)[:few]] = True
+                        near = np.flatnonzero(chosen[nth_id])
+                    near = near[ids[near] != q_ids[i]]
                     score = (v[near] * q[i]).sum(1)
-                    best = np.lexsort((ids[near], -score))[:k]
+                    best = np.lexsort((ids[near], -score))
+                    best = best[np.sort(np.unique(ids[near][best], return_index=True)[1])][:k]
                     out[0].append(np.full(len(best), q_ids[i]))
                     out[1].append(ids[near][best])
                     out[2].append(score[best])
