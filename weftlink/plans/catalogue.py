@@ -654,10 +654,9 @@ def cluster_matches(spark, d):
 def gbt_matcher(spark, d):
     pairs, records = _pairs(spark, d)
     rows = features.pair_features(features.labelled(pairs, biz.true_links(spark, d)), records, keep=("label",))
-    names = list(features.NAMES)
-    model = matcher.fit(rows.where(F.crc32(F.col("s1_id").cast("binary")) % 4 != 0), names, rounds=10)
-    scored = matcher.logits(model, rows.where(F.crc32(F.col("s1_id").cast("binary")) % 4 == 0), names)
-    return scored.select("s1_id", "cand_id", "label", r6("logit", "logit"))
+    rows, names = rows.withColumn("held_out", F.crc32(F.col("s1_id").cast("binary")) % 4 == 0), list(features.NAMES)
+    model = matcher.fit(rows.where(~F.col("held_out")), names)
+    return matcher.logits(model, rows, names).select("s1_id", "cand_id", "label", "held_out", r6("logit", "logit"))
 
 
 @query()
