@@ -11,6 +11,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+WIDE = 128
+
 
 def kish_n_eff(weight: Column) -> Column:
     """Aggregate: the effective sample size, 0 where there is next to no weight."""
@@ -55,11 +57,12 @@ def shrunk(rows: DataFrame, weight: str = "weight", min_share: float = 0.5) -> D
 
 
 def mean_and_covariance(rows: DataFrame, columns: list[str], sample: bool = True) -> tuple[np.ndarray, np.ndarray, int]:
-    """By one aggregate of p means and p (p + 1) / 2 covariances."""
+    """By aggregates of p means and p (p + 1) / 2 covariances, at most WIDE at once."""
     of = F.covar_samp if sample else F.covar_pop
     pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    row = rows.agg(F.count(F.lit(1)), *(F.avg(c) for c in columns), *(of(columns[i], columns[j]) for i, j in pairs)).first()
     p = len(columns)
+    wanted = [*(F.avg(c) for c in columns), *(of(columns[i], columns[j]) for i, j in pairs)]
+    row = [x for at in range(0, len(wanted), WIDE) for x in rows.agg(F.count(F.lit(1)), *wanted[at : at + WIDE]).first()[bool(at) :]]
     cov = np.zeros((p, p))
     for (i, j), x in zip(pairs, row[1 + p :], strict=True):
         cov[i, j] = cov[j, i] = x if x is not None else 0.0
@@ -76,10 +79,12 @@ class Alignment:
     matrix: np.ndarray
 
     def transform(self, rows: DataFrame, suffix: str = "") -> DataFrame:
-        out = {}
-        for j, c in enumerate(self.columns):
-            out[c + suffix] = sum(((F.col(a) - float(m)) * float(self.matrix[i, j]) for i, (a, m) in enumerate(zip(self.columns, self.source, strict=True))), F.lit(float(self.target[j])))
-        return rows.withColumns(out)
+        number = lambda x: f"double('{float(x)!r}')"
+        each = [f"struct({number(t)} AS t, array({', '.join(map(number, m))}) AS m)" for t, m in zip(self.target, self.matrix.T, strict=True)]
+        moved = F.array(*(F.col(c) - float(m) for c, m in zip(self.columns, self.source, strict=True)))
+        out = F.transform(F.expr(f"array({', '.join(each)})"), lambda to: F.aggregate(F.zip_with("__moved", to["m"], lambda a, b: a * b), to["t"], lambda a, b: a + b))
+        whole = rows.withColumn("__moved", moved).withColumn("__moved", out)
+        return whole.withColumns({c + suffix: F.col("__moved")[j] for j, c in enumerate(self.columns)}).drop("__moved")
 
 
 def _root(a: np.ndarray, power: float) -> np.ndarray:

@@ -524,21 +524,23 @@ def shrunk_weights(spark, d):
     return shift.shrunk(rows).select("doc_id", r6("stable_weight", "stable_weight"))
 
 
-def _vectors(spark, d, n: int = 4):
+def _vectors(spark, d):
+    """Rows with a column for each component, and the names of these columns."""
     rows = biz.table(spark, d, "embeddings")
-    return rows.select("vec_id", "label", *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(n)))
+    columns = [f"x{i}" for i in range(rows.agg(F.max(F.size("embedding"))).first()[0] or 0)]
+    return rows.select("vec_id", "label", *(F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(columns))), columns
 
 
 @query()
 def domain_weights(spark, d):
-    rows = _vectors(spark, d).withColumn("is_target", F.col("label") < 3)
-    scored = shift.domain_probabilities(rows, ["x0", "x1", "x2", "x3"], keep=("vec_id",))
+    rows, columns = _vectors(spark, d)
+    scored = shift.domain_probabilities(rows.withColumn("is_target", F.col("label") < 3), columns, keep=("vec_id",))
     return shift.density_weights(scored).select("vec_id", r6("weight", "weight"))
 
 
 @query()
 def coral_transform(spark, d):
-    rows, columns = _vectors(spark, d), ["x0", "x1", "x2", "x3"]
+    rows, columns = _vectors(spark, d)
     source, target = rows.where("label >= 3"), rows.where("label < 3")
     return shift.fit_alignment(source, target, columns).transform(source).select("vec_id", *(r6(c, c) for c in columns))
 
