@@ -105,3 +105,14 @@ def test_streamed_cap(sides, spark, tmp_path):
     q = SR.capped(stream).writeStream.format("memory").queryName("capped").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [r["place"] for r in spark.table("capped").orderBy("place").collect()] == list(range(1, 26))
+
+
+def test_sound_channel_has_all_pairs(spark):
+    from weftlink.operators import search
+
+    schema = "entity_id string, country string, source string, pos long, name_clean string"
+    left = spark.createDataFrame([(f"S1-{i}", c, "S1", i, n) for i, (c, n) in enumerate([("fr", "robert sa"), ("fr", "rupert"), ("us", "robert"), (None, "robert"), ("fr", "")])], schema)
+    pool = spark.createDataFrame([(f"S2-{i}", "fr", "S2", i, "rupert co") for i in range(50)] + [("S3-1", "us", "S3", 1, "tymczak"), ("S3-2", None, "S3", 2, "robert"), ("S3-3", "fr", "S3", 3, "")], schema)
+    want = sorted((f"S1-{i}", f"S2-{j}") for i in range(2) for j in range(50))
+    for options in ({}, {"chunk": 1}):
+        assert sorted((r["s1_id"], r["cand_id"]) for r in search.block_sound(left, pool, **options).collect()) == want
