@@ -636,8 +636,7 @@ def connected_components(spark, d):
 
 def _edges(spark, d):
     q = calibration.ClassQuantiles(0.3, 0.5)
-    rows = _scored(spark, d).where(F.col("prob") > 0.2)
-    return rows.select(F.col("s1_id").alias("u"), F.col("cand_id").alias("v"), "prob", calibration.prediction_set(F.col("prob"), q.q0, q.q1).alias("labels"))
+    return _scored(spark, d).select(F.col("s1_id").alias("u"), F.col("cand_id").alias("v"), "prob", calibration.prediction_set(F.col("prob"), q.q0, q.q1).alias("labels"))
 
 
 @query()
