@@ -93,6 +93,15 @@ def test_what_takes_no_part(rows, spark):
     assert N.search(df.where("vec_id = 2"), F.lit(True)).count() == 0
 
 
+def test_a_short_row_does_not_hide_the_others(rows):
+    rng = np.random.default_rng(5)
+    x, ids = rng.normal(size=(12, 8)).astype(np.float32), np.arange(12) * 10
+    data = [(int(i), [float(c) for c in v], "x", 1) for i, v in zip(ids, x, strict=True)]
+    short = [(1, [1.0, 2.0, 3.0], "x", 1), (2, [2.0, 2.0, 2.0], "x", 1)]
+    got = found(N.search(rows(data + short, SCHEMA), (F.col("vec_id") % 20 == 0) | (F.col("vec_id") == 1)))
+    assert got == brute(ids, x.astype(float), 20, 20) | {1: [(2, 12.0)]}
+
+
 def test_footrule():
     a, b = np.array([[0, 1, 2]], np.int16), np.array([[2, 0], [1, 1], [0, 2]], np.int16)
     assert N.footrule(a, b).tolist() == [[4, 0]]

@@ -17,6 +17,7 @@ repeated rows go first, and an id with several vectors takes one place.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -79,16 +80,23 @@ def search(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col
 
     Returns query_id, rank (from 1), vec_id, score; a query's own row is no
     candidate, ties go to smaller ids.  Rows take no part whose id is null or
-    whose vector is null, empty, zero, holds null or non-finite components, or
-    differs in length from the shortest usable vector.  Rows that share an id
-    count once in a result, with their best score.  Other columns are ignored.
+    whose vector is null, empty, zero, or holds null or non-finite components.
+    A query is compared with the rows of its own length; each length has its own
+    pivots and jobs.  Rows that share an id count once in a result, with their
+    best score.  Other columns are ignored.
     """
     vectors = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks")).where(F.col("vec_id").isNotNull() & usable(F.col("vector")))
-    size = vectors.agg(F.min(F.size("vector"))).first()[0]
-    empty = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if size is None:
-        return empty
-    vectors = vectors.where(F.size("vector") == size)
+    sizes = sorted(r[0] for r in vectors.where("asks").select(F.size("vector")).distinct().toLocalIterator())
+    if not sizes:
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found = reduce(DataFrame.unionByName, [candidates(vectors.where(F.size("vector") == size), k, n_pivots, post, probe, rerank, chunk, n_queries) for size in sizes])
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def candidates(vectors: DataFrame, k: int, n_pivots: int, post: int, probe: float, rerank: float, chunk: int, n_queries: int) -> DataFrame:
+    """query_id, vec_id, score of the best k ids in each piece that a query meets; all vectors have one length."""
     pivots = choose_pivots(vectors, n_pivots)
     n = len(pivots)
     post, probe_n = min(post, n), min(n, max(48, math.ceil(probe * n)))
@@ -144,7 +152,4 @@ def search(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col
         joined = [np.concatenate(x) if x else np.zeros(0) for x in out]
         return pa.table({"query_id": pa.array(joined[0].astype(np.int64)), "vec_id": pa.array(joined[1].astype(np.int64)), "score": pa.array(joined[2].astype(float))})
 
-    found = posted.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(meet, FOUND)
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return posted.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(meet, FOUND)
