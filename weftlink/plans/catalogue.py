@@ -611,7 +611,7 @@ def mahalanobis_flags(spark, d):
 
 @query()
 def robust_outliers(spark, d):
-    out = profiling.robust_outliers(_numbers(spark, d), _NUM, starts=2, steps=6)
+    out = profiling.robust_outliers(_numbers(spark, d), _NUM)
     return out.select("l_orderkey", "l_linenumber", "robust", "envelope")
 
 
