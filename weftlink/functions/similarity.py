@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -70,18 +71,56 @@ def jaro_winkler_of(a: str, b: str, boost: float = 0.1) -> float:
     return jaro + same * boost * (1 - jaro)
 
 
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points, one row a text, filled up with zeros, and the texts' lengths."""
+    length = np.array([len(t) for t in texts])
+    out = np.zeros((len(texts), max(1, int(length.max(initial=0)))), np.uint32)
+    inside = np.arange(out.shape[1]) < length[:, None]
+    out[inside] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    return out, length
+
+
+def jaro_winkler_many(a: list[str], b: list[str], boost: float = 0.1) -> np.ndarray:
+    """jaro_winkler_of() for many pairs at once: a step for each character of the longest left text."""
+    x, n = _codes(a)
+    y, m = _codes(b)
+    rows, place = np.arange(len(a)), np.arange(y.shape[1])
+    reach = np.maximum(np.maximum(n, m) // 2 - 1, 0)
+    taken, hit = np.zeros(y.shape, bool), np.zeros(x.shape, bool)
+    for i in range(x.shape[1]):
+        fits = (y == x[:, i, None]) & ~taken & (np.abs(place - i) <= reach[:, None]) & (place < m[:, None]) & (i < n)[:, None]
+        first = fits.argmax(1)
+        found = fits[rows, first]
+        taken[rows[found], first[found]] = True
+        hit[:, i] = found
+    k = hit.sum(1)
+    differ = np.bincount(np.nonzero(hit)[0], x[hit] != y[taken], len(a))  # both sides list a row's hits in order
+    with np.errstate(all="ignore"):
+        jaro = np.where(k > 0, (k / n + k / m + (k - differ / 2) / k) / 3, 0.0)
+    w = min(4, x.shape[1], y.shape[1])
+    inside = np.arange(w) < np.minimum(n, m)[:, None]
+    same = np.logical_and.accumulate((x[:, :w] == y[:, :w]) & inside, 1).sum(1)
+    out = jaro + same * boost * (1 - jaro)
+    out[(n == m) & (k == n) & (differ == 0)] = 1.0
+    return np.where((n == 0) & (m == 0), 1.0, out)
+
+
 @F.pandas_udf(DoubleType())
 def _jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
-    seen: dict = {}
-    out = []
-    for x, y in zip(a, b, strict=True):
-        if x is None or y is None:
-            out.append(None)
-            continue
-        if (x, y) not in seen:
-            seen[x, y] = jaro_winkler_of(x, y)
-        out.append(seen[x, y])
-    return pd.Series(out, dtype="float64")
+    out = pd.Series(np.nan, index=a.index, dtype="float64")
+    given = a.notna() & b.notna()
+    pairs = pd.DataFrame({"a": a[given], "b": b[given]})
+    distinct = pairs.drop_duplicates().assign(n=lambda p: p["a"].str.len(), m=lambda p: p["b"].str.len()).sort_values(["m", "n"])
+    found, at = {}, 0
+    while at < len(distinct):  # pieces of like lengths and a bounded number of cells
+        step = max(1, (1 << 20) // (1 + int(distinct["m"].iloc[at : at + 4096].max())))
+        part = distinct.iloc[at : at + min(step, 4096)]
+        x, y = part["a"].tolist(), part["b"].tolist()
+        found |= dict(zip(zip(x, y, strict=True), jaro_winkler_many(x, y).tolist(), strict=True))
+        at += len(part)
+    if len(pairs):
+        out[given] = [found[p] for p in zip(pairs["a"], pairs["b"], strict=True)]
+    return out.where(given, None)
 
 
 def jaro_winkler(a: Column, b: Column) -> Column:

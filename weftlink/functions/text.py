@@ -90,11 +90,11 @@ def strip_marks_any(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else _bare(t))
 
 
-def strip_marks(c: Column, native: bool = True) -> Column:
+def strip_marks(c: Column, native: bool = False) -> Column:
     """Compatibility decomposition without combining marks.
 
-    Native, one character gives one at most, which covers accented letters.
-    Otherwise texts with ligatures, fractions, Hangul and the like go through
+    Native, one character gives one at most, which covers accented letters and
+    keeps Python out of the plan.  Otherwise texts with ligatures, fractions, Hangul and the like go through
     Python; the others are sent there as nulls.
     """
     source, target, several = _tables()
@@ -115,13 +115,13 @@ def replace_all(c: Column, rules) -> Column:
     return c
 
 
-def clean_text(c: Column, native: bool = True) -> Column:
+def clean_text(c: Column, native: bool = False) -> Column:
     """Bare lower-case words with single spaces; null and blank texts give an empty one."""
     low = F.lower(strip_marks(F.coalesce(c, F.lit("")), native))
     return F.btrim(F.regexp_replace(low, GAP, " "))
 
 
-def canonical_name(c: Column, native: bool = True) -> Column:
+def canonical_name(c: Column, native: bool = False) -> Column:
     return squeeze(replace_all(clean_text(c, native), EXPANSIONS))
 
 
@@ -135,24 +135,24 @@ def phonetic_prefix(cleaned: Column, length: int = 4) -> Column:
     return F.rpad(F.substring(F.regexp_replace(cleaned, "[^a-z]", ""), 1, length), length, "x")
 
 
-def name_key(c: Column, native: bool = True) -> Column:
+def name_key(c: Column, native: bool = False) -> Column:
     """All letters and digits of the shortened name, run together."""
     low = F.lower(strip_marks(F.coalesce(c, F.lit("")), native))
     return F.regexp_replace(replace_all(low, CONTRACTIONS), GAP, "")
 
 
-def french_text(c: Column, native: bool = True) -> Column:
+def french_text(c: Column, native: bool = False) -> Column:
     """As clean_text(), with elided articles kept as words."""
     low = F.translate(F.lower(strip_marks(F.coalesce(c, F.lit("")), native)), "’`", "''")
     return F.btrim(F.regexp_replace(F.regexp_replace(low, r"\b([dl])'", "$1 "), GAP, " "))
 
 
-def french_name(c: Column, native: bool = True) -> Column:
+def french_name(c: Column, native: bool = False) -> Column:
     rules = [(r"\b" + r"[\.\s]?".join(form) + r"\b", form) for form in FRENCH_FORMS]
     return squeeze(replace_all(french_text(c, native), rules))
 
 
-def french_address(c: Column, native: bool = True) -> Column:
+def french_address(c: Column, native: bool = False) -> Column:
     """struct(address, postal, department); a null address reads ``none``."""
     raw = F.coalesce(c, F.lit("None"))
     code = r"\b(\d{2})(\d{3})\b"
@@ -183,6 +183,13 @@ def char_ngrams(c: Column, n: int = 3) -> Column:
     return F.when(F.char_length(c) < n, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n)))))
 
 
+def char_trigram_codes(c: Column) -> Column:
+    """The distinct 3-grams of char_ngrams() as numbers, 21 bits for each character's code point."""
+    code = lambda i: F.ascii(F.substring(c, i, F.lit(1))).cast("long")
+    run = lambda i: F.shiftleft(code(i), 42).bitwiseOR(F.shiftleft(code(i + 1), 21)).bitwiseOR(code(i + 2))
+    return F.when(F.char_length(c) < 3, F.array().cast("array<bigint>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(c) - 2), run)))
+
+
 def word_count(c: Column) -> Column:
     inner = F.btrim(F.regexp_replace(c, r"\s+", " "))
     return F.when(inner == "", 0).otherwise(F.size(F.split(inner, " ")))
@@ -206,11 +213,6 @@ def source_of(entity_id: Column) -> Column:
     return F.split_part(entity_id, F.lit("-"), F.lit(1))
 
 
-def examples(c: Column, most: int = 5) -> Column:
-    """The first few of a column's distinct values in order."""
-    return F.slice(F.array_sort(F.collect_set(c)), 1, most)
-
-
 def spec_clean(text: str | None) -> str:
     """clean_text() in plain Python, for tests."""
     return " ".join(re.sub(r"[^\w]", " ", _bare(text or "").lower()).split())

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
-def canonical(records: DataFrame, native: bool = True) -> DataFrame:
+def canonical(records: DataFrame, native: bool = False) -> DataFrame:
     """Add all derived columns to entity_id, business_name, business_address, country, pos.
 
     A null country never joins; see with_null_country().

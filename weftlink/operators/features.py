@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from ..functions import text as T
+from ..plans.shared import written
 
 # The features' names in the order of the vector.
 NAMES = (
@@ -46,43 +47,69 @@ def _digits(c: Column) -> Column:
     return F.array_distinct(F.filter(F.split(c, ""), lambda x: x.rlike(r"\p{Nd}")))
 
 
-def _distinct_words(c: Column) -> Column:
-    return F.array_distinct(T.tokens(c))
+#: What the features need of a record besides its texts, with the texts' columns as prefixes.
+FORMS = {
+    "words": lambda c: F.array_distinct(T.tokens(c)),
+    "sorted": T.sorted_tokens,
+    "grams": T.char_trigram_codes,
+    "first": lambda c: F.get(T.tokens(c), F.lit(0)),
+}
+TEXTS = ("name_clean", "addr_clean")
+PLAIN = (*TEXTS, "postal", "country")
+DERIVED = (*(f"{c}_{form}" for c in TEXTS for form in FORMS), "addr_clean_digits")
+
+
+def with_forms(records: DataFrame) -> DataFrame:
+    """records with the sorted words, 3-grams and digits of their texts: made once for each record, not for each pair."""
+    forms = {f"{c}_{form}": make(F.col(c)) for c in TEXTS for form, make in FORMS.items()}
+    return records.withColumns(forms | {"addr_clean_digits": _digits(F.col("addr_clean"))})
 
 
 def expressions(native_only: bool = False) -> dict[str, Column]:
-    """The features over name_clean, addr_clean, postal, country and cand_id, as a_<column> and b_<column>."""
+    """The features over the columns of with_forms(), each as a_<column> and b_<column>, and shared()."""
     n1, n2, a1, a2 = F.col("a_name_clean"), F.col("b_name_clean"), F.col("a_addr_clean"), F.col("b_addr_clean")
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     both = (F.char_length(a1) > 0) & (F.char_length(a2) > 0)
     given = lambda c, other: F.when(both, c).otherwise(F.lit(other))
     gap = lambda a, b: F.abs(F.char_length(a) - F.char_length(b)).cast("double")
-    words = lambda a, b: F.abs(F.size(_distinct_words(a)) - F.size(_distinct_words(b))).cast("double")
+    size = lambda c: (F.size(f"a_{c}"), F.size(f"b_{c}"))
+    apart = lambda c: F.abs(size(c)[0] - size(c)[1]).cast("double")
+    same = lambda c: F.col(f"__shared_{c}")
     p1, p2 = F.nullif(F.col("a_postal"), F.lit("")), F.nullif(F.col("b_postal"), F.lit(""))
+
+    def jaccard(c: str) -> Column:
+        x, y = size(c)
+        return F.when((x == 0) | (y == 0), F.lit(0.0)).otherwise(same(c) / (x + y - same(c)))
+
+    def grams(c: str) -> Column:
+        a, b = F.col(f"a_{c}"), F.col(f"b_{c}")
+        short = (F.char_length(a) < 3) | (F.char_length(b) < 3)
+        return F.when(short, (a == b).cast("double")).otherwise(jaccard(f"{c}_grams"))
+
     out = {
         "name_levenshtein": S.levenshtein_ratio(n1, n2),
-        "name_3gram_jaccard": S.ngram_jaccard(n1, n2),
-        "name_token_jaccard": S.token_jaccard(n1, n2),
-        "name_token_sort_ratio": S.token_sort_ratio(n1, n2),
+        "name_3gram_jaccard": grams("name_clean"),
+        "name_token_jaccard": jaccard("name_clean_words"),
+        "name_token_sort_ratio": S.levenshtein_ratio(F.col("a_name_clean_sorted"), F.col("b_name_clean_sorted")),
         "name_len_diff": gap(n1, n2),
         "name_len_ratio": S.length_ratio(n1, n2),
         "name_prefix_match": flag((F.substring(n1, 1, 4) == F.substring(n2, 1, 4)) & (F.char_length(n1) >= 4)),
-        "name_first_token_match": flag((n1 != "") & (n2 != "") & (F.get(T.tokens(n1), F.lit(0)) == F.get(T.tokens(n2), F.lit(0)))),
+        "name_first_token_match": flag((n1 != "") & (n2 != "") & (F.col("a_name_clean_first") == F.col("b_name_clean_first"))),
         "addr_levenshtein": given(S.levenshtein_ratio(a1, a2), 0.5),
-        "addr_3gram_jaccard": given(S.ngram_jaccard(a1, a2), 0.0),
-        "addr_token_jaccard": given(S.token_jaccard(a1, a2), 0.0),
-        "addr_token_sort_ratio": given(S.token_sort_ratio(a1, a2), 0.5),
+        "addr_3gram_jaccard": given(grams("addr_clean"), 0.0),
+        "addr_token_jaccard": given(jaccard("addr_clean_words"), 0.0),
+        "addr_token_sort_ratio": given(S.levenshtein_ratio(F.col("a_addr_clean_sorted"), F.col("b_addr_clean_sorted")), 0.5),
         "addr_len_diff": given(gap(a1, a2), 50.0),
         "addr_len_ratio": given(S.length_ratio(a1, a2), 0.0),
         "postal_exact_match": flag(p1 == p2),
         "postal_both_missing": flag(p1.isNull() & p2.isNull()),
         "country_exact_match": flag(F.col("a_country") == F.col("b_country")),
-        "digit_count_diff": F.abs(F.size(_digits(a1)) - F.size(_digits(a2))).cast("double"),
-        "digit_overlap_count": F.size(F.array_intersect(_digits(a1), _digits(a2))).cast("double"),
+        "digit_count_diff": apart("addr_clean_digits"),
+        "digit_overlap_count": same("addr_clean_digits").cast("double"),
         "source_is_s2": flag(F.col("cand_id").startswith("S2-")),
         "source_is_s3": flag(F.col("cand_id").startswith("S3-")),
-        "name_word_count_diff": words(n1, n2),
-        "addr_word_count_diff": given(words(a1, a2), 5.0),
+        "name_word_count_diff": apart("name_clean_words"),
+        "addr_word_count_diff": given(apart("addr_clean_words"), 5.0),
         "both_have_address": flag(both),
         "name_exact_match": flag(n1 == n2),
     }
@@ -92,23 +119,30 @@ def expressions(native_only: bool = False) -> dict[str, Column]:
     return {n: out[n] for n in NAMES if n in out}
 
 
-def hydrated(pairs: DataFrame, records: DataFrame) -> DataFrame:
+def shared(rows: DataFrame) -> DataFrame:
+    """rows with the sizes of what both records' arrays have in common, which several features use."""
+    arrays = [c for c in DERIVED if c.endswith(("_words", "_grams", "_digits"))]
+    return rows.withColumns({f"__shared_{c}": F.size(F.array_intersect(f"a_{c}", f"b_{c}")) for c in arrays})
+
+
+def hydrated(pairs: DataFrame, records: DataFrame, columns: tuple = PLAIN) -> DataFrame:
     """pairs with both records' columns; pairs with an unknown side are dropped."""
-    columns = ("name_clean", "addr_clean", "postal", "country")
     side = lambda key, p: records.select(F.col("entity_id").alias(key), *(F.col(c).alias(f"{p}_{c}") for c in columns))
     return pairs.join(side("s1_id", "a"), "s1_id").join(side("cand_id", "b"), "cand_id")
 
 
-def pair_features(pairs: DataFrame, records: DataFrame, native_only: bool = False, keep: tuple = ()) -> DataFrame:
-    """s1_id, cand_id, keep and the features as float columns.
+def pair_features(pairs: DataFrame, records: DataFrame, native_only: bool = False, keep: tuple = (), kind: str = "float") -> DataFrame:
+    """s1_id, cand_id, keep and the features as columns of a kind.
 
     Jaro-Winkler runs in Python, once for each text pair; native_only leaves
     out the three features that need it.
     """
-    rows = hydrated(pairs, records)
+    # pairs are few bytes and much work: as many tasks as shuffles have, not as few as their size suggests
+    dealt = pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "s1_id")
+    rows = shared(hydrated(dealt, written(with_forms(records), "forms"), PLAIN + DERIVED))
     if not native_only:
         rows = rows.withColumn("__jw_name", S.jaro_winkler(F.col("a_name_clean"), F.col("b_name_clean"))).withColumn("__jw_addr", S.jaro_winkler(F.col("a_addr_clean"), F.col("b_addr_clean")))
-    return rows.select("s1_id", "cand_id", *keep, *(e.cast("float").alias(n) for n, e in expressions(native_only).items()))
+    return rows.select("s1_id", "cand_id", *keep, *(e.cast(kind).alias(n) for n, e in expressions(native_only).items()))
 
 
 def labelled(pairs: DataFrame, links: DataFrame) -> DataFrame:

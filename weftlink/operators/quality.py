@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import examples
+
+def _offenders(rule: str, severity: str, rows: DataFrame, name: Column) -> DataFrame:
+    return rows.select(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), name.cast("string").alias("x"))
 
 
-def _report(rule: str, severity: str, offenders: DataFrame, name: Column) -> DataFrame:
-    one = offenders.select(name.cast("string").alias("x"))
-    return one.agg(F.count_distinct("x").alias("n_offenders"), F.concat_ws(",", examples(F.col("x"))).alias("examples")).select(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), "n_offenders", "examples")
+def _report(found: DataFrame, rules: list[tuple[str, str]], most: int = 5) -> DataFrame:
+    """rule, severity, n_offenders, examples: distinct offenders are counted, and only the first few of a rule brought together."""
+    each = found.where(F.col("x").isNotNull()).distinct()
+    counted = each.groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(W.partitionBy("rule").orderBy("x"))
+    few = each.withColumn("place", place).where(F.col("place") <= most).groupBy("rule").agg(F.concat_ws(",", F.array_sort(F.collect_list("x"))).alias("few"))
+    names = found.sparkSession.createDataFrame(rules, "rule string, severity string")
+    out = names.join(counted, "rule", "left").join(few, "rule", "left")
+    return out.select("rule", "severity", F.coalesce("n", F.lit(0)).alias("n_offenders"), F.coalesce("few", F.lit("")).alias("examples"))
 
 
 def parsed(lines: DataFrame) -> DataFrame:
@@ -34,27 +45,25 @@ def rules(rows: DataFrame, required: DataFrame, valid: DataFrame | None = None)
     known = listed.where(F.col("id").startswith("S2-") | F.col("id").startswith("S3-"))
     seen = good.select("s1_id").distinct()
     report = [
-        _report("no_tab", "error", rows.where(~F.col("has_tab")), F.col("s1_id")),
-        _report("duplicate_row", "error", good.groupBy("s1_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), F.col("s1_id")),
-        _report("repeated_id", "error", good.where(F.size("ids") != F.size(F.array_distinct("ids"))), F.col("s1_id")),
-        _report("self_match", "error", listed.where(F.col("id").startswith("S1-")), F.col("id")),
-        _report("wrong_prefix", "error", listed.where(~F.col("id").startswith("S1-") & ~F.col("id").startswith("S2-") & ~F.col("id").startswith("S3-")), F.col("id")),
-        _report("missing_row", "error", required.select("s1_id").join(seen, "s1_id", "left_anti"), F.col("s1_id")),
-        _report("extra_row", "error", seen.join(required.select("s1_id"), "s1_id", "left_anti"), F.col("s1_id")),
+        _offenders("no_tab", "error", rows.where(~F.col("has_tab")), F.col("s1_id")),
+        _offenders("duplicate_row", "error", good.groupBy("s1_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), F.col("s1_id")),
+        _offenders("repeated_id", "error", good.where(F.size("ids") != F.size(F.array_distinct("ids"))), F.col("s1_id")),
+        _offenders("self_match", "error", listed.where(F.col("id").startswith("S1-")), F.col("id")),
+        _offenders("wrong_prefix", "error", listed.where(~F.col("id").startswith("S1-") & ~F.col("id").startswith("S2-") & ~F.col("id").startswith("S3-")), F.col("id")),
+        _offenders("missing_row", "error", required.select("s1_id").join(seen, "s1_id", "left_anti"), F.col("s1_id")),
+        _offenders("extra_row", "error", seen.join(required.select("s1_id"), "s1_id", "left_anti"), F.col("s1_id")),
     ]
     if valid is not None:
-        report.append(_report("unknown_id", "error", known.join(valid.select(F.col("entity_id").alias("id")), "id", "left_anti"), F.col("id")))
-    out = report[0]
-    for r in report[1:]:
-        out = out.unionByName(r)
-    return out
+        report.append(_offenders("unknown_id", "error", known.join(valid.select(F.col("entity_id").alias("id")), "id", "left_anti"), F.col("id")))
+    names = ["no_tab", "duplicate_row", "repeated_id", "self_match", "wrong_prefix", "missing_row", "extra_row", *["unknown_id"] * (valid is not None)]
+    return _report(reduce(DataFrame.unionByName, report), [(n, "error") for n in names])
 
 
 def subset_warning(matches: DataFrame, candidates: DataFrame) -> DataFrame:
     """Records with a match that isn't among their candidates, as a warning."""
     both = matches.select("s1_id", F.col("ids").alias("m")).join(candidates.select("s1_id", F.col("ids").alias("c")), "s1_id", "left")
     outside = both.where(F.size(F.array_except("m", F.coalesce("c", F.array().cast("array<string>")))) > 0)
-    return _report("match_outside_candidates", "warning", outside, F.col("s1_id"))
+    return _report(_offenders("match_outside_candidates", "warning", outside, F.col("s1_id")), [("match_outside_candidates", "warning")])
 
 
 def header_problem(line: str | None, expected: tuple[str, ...]) -> str | None:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import squeeze
 from ..operators.blocking import canonical, split_sources
+from .shared import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,7 +28,8 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def canon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return canonical(records(spark, sf_dir))
+    """The canonical records, written once for all that a query makes of them; SQL strips accents as the native way does."""
+    return written(canonical(records(spark, sf_dir), native=True), "canon")
 
 
 def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -39,12 +39,12 @@ def r6(c, name: str):
 @query(f"WITH {biz.BIZ} SELECT entity_id, {biz.clean('business_name')} AS cleaned, {biz.name_sql('business_name')} AS name FROM biz")
 def canonical_names(spark, d):
     name = F.col("business_name")
-    return biz.records(spark, d).select("entity_id", T.clean_text(name).alias("cleaned"), T.canonical_name(name).alias("name"))
+    return biz.records(spark, d).select("entity_id", T.clean_text(name, native=True).alias("cleaned"), T.canonical_name(name, native=True).alias("name"))
 
 
 @query(f"WITH {biz.BIZ}, k AS (SELECT entity_id, {biz.key_sql('business_name')} AS key FROM biz) SELECT entity_id, key, left(key, 4) AS prefix4 FROM k")
 def canonical_name_keys(spark, d):
-    return biz.records(spark, d).select("entity_id", T.name_key(F.col("business_name")).alias("key")).select("*", F.substring("key", 1, 4).alias("prefix4"))
+    return biz.records(spark, d).select("entity_id", T.name_key(F.col("business_name"), native=True).alias("key")).select("*", F.substring("key", 1, 4).alias("prefix4"))
 
 
 _FRENCH = "trim(regexp_replace(regexp_replace(lower(strip_accents({0})), '\\b([dl])''', '\\1 ', 'g'), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'))"
@@ -56,12 +56,12 @@ def _french_sql(column: str, rules) -> str:
 
 @query(f"WITH {biz.BIZ} SELECT entity_id, {_french_sql('business_name', [(chr(92) + 'b' + '[. ]?'.join(f) + chr(92) + 'b', f) for f in T.FRENCH_FORMS])} AS name FROM biz WHERE country = 'fr'")
 def french_names(spark, d):
-    return biz.records(spark, d).where("country = 'fr'").select("entity_id", T.french_name(F.col("business_name")).alias("name"))
+    return biz.records(spark, d).where("country = 'fr'").select("entity_id", T.french_name(F.col("business_name"), native=True).alias("name"))
 
 
 @query(rf"WITH {biz.BIZ} SELECT entity_id, {_french_sql('business_address', [(chr(92) + 'b' + a + chr(92) + 'b', b) for a, b in T.FRENCH_STREETS])} AS address, nullif(regexp_extract(business_address, '\b(\d{{2}})(\d{{3}})\b', 0), '') AS postal, nullif(regexp_extract(business_address, '\b(\d{{2}})(\d{{3}})\b', 1), '') AS department FROM biz")
 def french_addresses(spark, d):
-    return biz.records(spark, d).select("entity_id", T.french_address(F.col("business_address")).alias("a")).select("entity_id", "a.*")
+    return biz.records(spark, d).select("entity_id", T.french_address(F.col("business_address"), native=True).alias("a")).select("entity_id", "a.*")
 
 
 @query(f"WITH {biz.CANON} SELECT entity_id, postal FROM canon")
@@ -209,9 +209,8 @@ def _feature_sql() -> str:
 
 @query(f"WITH {_PAIRS} SELECT s1_id, cand_id, {_feature_sql()} FROM pairs")
 def pair_features_native(spark, d):
-    pairs, records = _pairs(spark, d)
-    rows = features.hydrated(pairs, records)
-    return rows.select("s1_id", "cand_id", *(F.round(e.cast("double"), 5).alias(n) for n, e in features.expressions(native_only=True).items()))
+    rows = features.pair_features(*_pairs(spark, d), native_only=True, kind="double")
+    return rows.select("s1_id", "cand_id", *(F.round(c, 5).alias(c) for c in rows.columns[2:]))
 
 
 @query()
@@ -344,8 +343,7 @@ _RULE_SQL = """SELECT '{0}' AS rule, 'error' AS severity, count(DISTINCT x) AS n
     )
 )
 def quality_rules(spark, d):
-    left, pool = biz.sides(spark, d)
-    return quality.rules(_faulty(spark, d), left.select(F.col("entity_id").alias("s1_id")), pool.select("entity_id"))
+    return quality.rules(_faulty(spark, d), _entities(spark, d), biz.records(spark, d).where("source <> 'S1'").select("entity_id"))
 
 
 @query(f"WITH {biz.RULES}, c AS (SELECT s1_id, matches, CASE WHEN s1_id LIKE '%7' THEN '' ELSE candidates END AS candidates FROM lists), o AS (SELECT s1_id AS x FROM c WHERE matches <> '' AND NOT list_has_all(string_split(candidates, ','), string_split(matches, ','))) SELECT 'match_outside_candidates' AS rule, 'warning' AS severity, count(DISTINCT x) AS n_offenders, coalesce(array_to_string(list_slice(list_sort(list_distinct(list(x))), 1, 5), ','), '') AS examples FROM o")
@@ -370,13 +368,13 @@ _SCORED = biz.BLOCKS + f""", {biz.TRUTH}, scored0 AS (SELECT b.s1_id, b.cand_id,
 
 
 def _scored(spark, d):
-    rows = features.labelled(_pairs(spark, d)[0], biz.true_links(spark, d))
-    both = features.hydrated(rows, _pairs(spark, d)[1])
+    pairs, records = _pairs(spark, d)
+    both = features.hydrated(features.labelled(pairs, biz.true_links(spark, d)), records, ("name_clean",))
     return both.select("s1_id", "cand_id", "label", S.token_jaccard(F.col("a_name_clean"), F.col("b_name_clean")).alias("prob"))
 
 
 def _entities(spark, d):
-    return biz.sides(spark, d)[0].select(F.col("entity_id").alias("s1_id"))
+    return biz.records(spark, d).where("source = 'S1'").select(F.col("entity_id").alias("s1_id"))
 
 
 @query(f"WITH {_SCORED} SELECT tp, fp, fn, round(pair_precision, 6) AS pair_precision, round(pair_recall, 6) AS pair_recall, round(pair_f05, 6) AS pair_f05 FROM pr WHERE threshold = 0.75")
@@ -641,13 +639,13 @@ def _edges(spark, d):
 
 @query()
 def constrained_clusters(spark, d):
-    found = graph.constrained_clusters(biz.canon(spark, d).select("entity_id"), _edges(spark, d))
+    found = graph.constrained_clusters(biz.records(spark, d).select("entity_id"), _edges(spark, d))
     return found.select("cluster_id", joined(F.col("members")).alias("members"))
 
 
 @query()
 def cluster_matches(spark, d):
-    found = graph.constrained_clusters(biz.canon(spark, d).select("entity_id"), _edges(spark, d))
+    found = graph.constrained_clusters(biz.records(spark, d).select("entity_id"), _edges(spark, d))
     return graph.cluster_matches(found, _entities(spark, d)).select("s1_id", joined(F.col("matches")).alias("matches"))
 
 
