@@ -28,7 +28,10 @@ def run_rules(spark: SparkSession, folder: str, out: str, prefix: str = "test_so
 
 def validate(spark: SparkSession, matching: str, candidate: str | None, folder: str, check_ids: bool) -> bool:
     """Print all problems; True if there are no errors."""
-    required = tables.read_ids(spark, f"{folder}/test_source1.tsv").withColumnRenamed("entity_id", "s1_id")
+    if problem := tables.file_problem(spark, source := f"{folder}/test_source1.tsv"):
+        print(f"error: {source}: {problem}\nFAIL")
+        return False
+    required = tables.read_ids(spark, source).withColumnRenamed("entity_id", "s1_id")
     valid = tables.read_targets(spark, folder) if check_ids else None
     if check_ids and valid is None:
         print("warning: a source to match with is missing, so ids aren't looked up")
@@ -37,6 +40,10 @@ def validate(spark: SparkSession, matching: str, candidate: str | None, folder:
         if path is None:
             print("warning: no candidate file")
             continue
+        if problem := tables.file_problem(spark, path):
+            print(f"error: {path}: {problem}")
+            good = False
+            continue
         header, lines = tables.read_lines(spark, path)
         if problem := quality.header_problem(header, HEADERS[name]):
             print(f"error: {path}: {problem}")

@@ -159,9 +159,9 @@ def split_overlap(split: DataFrame, group: str) -> DataFrame:
     return split.groupBy(group).agg(F.count_distinct("split").alias("k")).agg(F.count_if(F.col("k") > 1).alias("n_shared"))
 
 
-def folds(rows: DataFrame, group: str, n: int = 5, stratum: str | None = None, seed: int = 42) -> DataFrame:
-    """rows with a fold number by group, dealt evenly within each stratum in the order of a seeded hash."""
+def folds(rows: DataFrame, group: str, n: int = 5, stratum: str | None = None, seed: int = 42, order: Column | None = None) -> DataFrame:
+    """rows with a fold number by group, dealt evenly within each stratum in the order of a seeded hash, or another."""
     keys = [c for c in (stratum,) if c]
-    groups = rows.select(group, *keys).dropDuplicates([group]).withColumn("o", F.xxhash64(F.lit(seed), F.col(group)))
+    groups = rows.select(group, *keys).dropDuplicates([group]).withColumn("o", order if order is not None else F.xxhash64(F.lit(seed), F.col(group)))
     counted = running_total(groups, keys, "o", F.lit(1)).select(*keys, F.col("value").alias("o"), ((F.col("upto") - 1) % n).cast("int").alias("fold"))
     return rows.join(groups.join(counted, [*keys, "o"]).select(group, "fold"), group, "left")

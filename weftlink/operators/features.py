@@ -151,9 +151,9 @@ def labelled(pairs: DataFrame, links: DataFrame) -> DataFrame:
     return pairs.join(true, ["s1_id", "cand_id"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
 
 
-def background(pool: DataFrame, needed: DataFrame, most: int, seed: int = 42) -> DataFrame:
-    """The needed records and, up to ``most`` in all, others by the order of a seeded hash."""
+def background(pool: DataFrame, needed: DataFrame, most: int, seed: int = 42, order: Column | None = None) -> DataFrame:
+    """The needed records and, up to ``most`` in all, others by the order of a seeded hash, or another."""
     must = pool.join(needed.select("entity_id").distinct(), "entity_id", "left_semi")
     room = max(most - must.count(), 0)
-    rest = pool.join(needed.select("entity_id").distinct(), "entity_id", "left_anti").orderBy(F.xxhash64(F.lit(seed), "entity_id"), "entity_id").limit(room)
+    rest = pool.join(needed.select("entity_id").distinct(), "entity_id", "left_anti").orderBy(order if order is not None else F.xxhash64(F.lit(seed), "entity_id"), "entity_id").limit(room)
     return must.unionByName(rest)

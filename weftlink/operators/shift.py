@@ -20,6 +20,12 @@ def kish_n_eff(weight: Column) -> Column:
     return F.when(squares <= 1e-12, 0.0).otherwise(F.pow(F.sum(weight), 2) / squares)
 
 
+def weight_summary(rows: DataFrame, weight: str = "weight", by: list[str] | None = None) -> DataFrame:
+    """by, n, min, mean, max and n_eff of weights."""
+    w = F.col(weight)
+    return rows.groupBy(*(by or [])).agg(F.count(w).alias("n"), F.min(w).alias("min"), F.avg(w).alias("mean"), F.max(w).alias("max"), kish_n_eff(w).alias("n_eff"))
+
+
 def domain_probabilities(rows: DataFrame, columns: list[str], target: str = "is_target", c: float = 1.0, keep: tuple = ()) -> DataFrame:
     """keep and prob: P(target | columns) by logistic regression with penalty 1 / (2c)."""
     n = rows.count()

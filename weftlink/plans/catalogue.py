@@ -166,15 +166,35 @@ def pair_token_sort(spark, d):
     return _hydrated(spark, d).select("s1_id", "cand_id", r6(S.token_sort_ratio(F.col("a_name_clean"), F.col("b_name_clean")), "ratio"))
 
 
-@query()
+def _taken(a: str, b: str) -> str:
+    """The places in b that a's characters take in turn, each the first free one within reach."""
+    x, y = f"string_split({a}, '')", f"string_split({b}, '')"
+    reach = f"greatest(greatest(length({a}), length({b})) // 2 - 1, 0)"
+    free = f"list_filter(range(greatest(1, i - {reach}), least(length({b}), i + {reach}) + 1), lambda j: {y}[j] = {x}[i] AND NOT list_contains(acc, j))"
+    return f"list_reduce(range(1, length({a}) + 1), lambda acc, i: list_concat(acc, list_slice({free}, 1, 1)), []::BIGINT[])"
+
+
+def _jaro_winkler(a: str, b: str, taken: str) -> str:
+    y, m = f"string_split({b}, '')", f"len({taken})"
+    moved = f"len(list_filter(range(1, {m} + 1), lambda k: {y}[{taken}[k]] <> {y}[list_sort({taken})[k]])) / 2.0::DOUBLE"
+    jaro = f"(({m} / length({a})::DOUBLE + {m} / length({b})::DOUBLE + ({m} - {moved}) / {m}::DOUBLE) / 3)"
+    same = f"list_max(list_filter([0, 1, 2, 3, 4], lambda k: k <= least(length({a}), length({b})) AND left({a}, k) = left({b}, k)))"
+    return f"CASE WHEN {a} = {b} THEN 1.0::DOUBLE WHEN {m} = 0 THEN 0.0::DOUBLE ELSE {jaro} + {same} * 0.1::DOUBLE * (1 - {jaro}) END"
+
+
+_MATCHED = f"{_PAIRS}, matched AS (SELECT *, {_taken('a', 'b')} AS name_taken, {_taken('aa', 'ba')} AS addr_taken FROM pairs)"
+_JW = f"{_MATCHED}, jw AS (SELECT *, {_jaro_winkler('a', 'b', 'name_taken')} AS name_jw, {_jaro_winkler('aa', 'ba', 'addr_taken')} AS addr_jw FROM matched)"
+
+
+@query(f"WITH {_JW} SELECT s1_id, cand_id, round(name_jw, 6) AS similarity FROM jw")
 def pair_jaro_winkler(spark, d):
     return _hydrated(spark, d).select("s1_id", "cand_id", r6(S.jaro_winkler(F.col("a_name_clean"), F.col("b_name_clean")), "similarity"))
 
 
-def _feature_sql() -> str:
+def _feature_sql(python_too: bool = False) -> str:
     both = "(length(aa) > 0 AND length(ba) > 0)"
     given = lambda e, other: f"CASE WHEN {both} THEN {e} ELSE {other} END"
-    digits = lambda a: f"list_distinct(list_filter(string_split({a}, ''), lambda x: regexp_full_match(x, '[0-9]')))"
+    numbers = lambda a: f"list_distinct(list_filter(string_split({a}, ''), lambda x: regexp_full_match(x, '[0-9]')))"
     ratio = lambda a, b: f"CASE WHEN greatest(length({a}), length({b})) = 0 THEN 1.0 ELSE least(length({a}), length({b})) / greatest(length({a}), length({b}))::DOUBLE END"
     sort_ratio = lambda a, b: _lev(_sorted(a), _sorted(b))
     e = {
@@ -195,8 +215,8 @@ def _feature_sql() -> str:
         "postal_exact_match": "coalesce(ap = bp, false)::INT",
         "postal_both_missing": "(ap IS NULL AND bp IS NULL)::INT",
         "country_exact_match": "coalesce(ac = bc, false)::INT",
-        "digit_count_diff": f"abs(len({digits('aa')}) - len({digits('ba')}))",
-        "digit_overlap_count": f"len(list_intersect({digits('aa')}, {digits('ba')}))",
+        "digit_count_diff": f"abs(len({numbers('aa')}) - len({numbers('ba')}))",
+        "digit_overlap_count": f"len(list_intersect({numbers('aa')}, {numbers('ba')}))",
         "source_is_s2": "starts_with(cand_id, 'S2-')::INT",
         "source_is_s3": "starts_with(cand_id, 'S3-')::INT",
         "name_word_count_diff": f"abs(len({_toks('a')}) - len({_toks('b')}))",
@@ -204,7 +224,14 @@ def _feature_sql() -> str:
         "both_have_address": f"{both}::INT",
         "name_exact_match": "(a = b)::INT",
     }
-    return ", ".join(f"round(({x})::DOUBLE, 5) AS {n}" for n, x in e.items())
+    if python_too:
+        e |= {
+            "name_jaro_winkler": "name_jw",
+            "addr_jaro_winkler": given("addr_jw", "0.5"),
+            "composite_similarity": f"0.6 * name_jw + 0.4 * CASE WHEN {both} THEN addr_jw ELSE name_jw END",
+        }
+    digits = 8 if python_too else 5
+    return ", ".join(f"round(({x})::DOUBLE, {digits}) AS {n}" for n, x in e.items())
 
 
 @query(f"WITH {_PAIRS} SELECT s1_id, cand_id, {_feature_sql()} FROM pairs")
@@ -213,10 +240,17 @@ def pair_features_native(spark, d):
     return rows.select("s1_id", "cand_id", *(F.round(c, 5).alias(c) for c in rows.columns[2:]))
 
 
-@query()
+@query(f"WITH {_JW} SELECT s1_id, cand_id, {_feature_sql(True)} FROM jw")
 def pair_features_all(spark, d):
+    rows = features.pair_features(*_pairs(spark, d), kind="double")
+    return rows.select("s1_id", "cand_id", *(F.round(c, 8).alias(c) for c in rows.columns[2:]))
+
+
+@query(f"WITH {_JW}, {biz.TRUTH} SELECT s1_id, cand_id, (true_id IS NOT NULL)::INT AS label, {_feature_sql(True)} FROM jw LEFT JOIN (SELECT s1_id, cand_id, s1_id AS true_id FROM truth) USING (s1_id, cand_id)")
+def training_rows(spark, d):
     pairs, records = _pairs(spark, d)
-    return features.pair_features(pairs, records)
+    rows = features.pair_features(features.labelled(pairs, biz.true_links(spark, d)), records, keep=("label",), kind="double")
+    return rows.select("s1_id", "cand_id", "label", *(F.round(c, 8).alias(c) for c in rows.columns[3:]))
 
 
 # -- blocking -------------------------------------------------------------------
@@ -417,10 +451,10 @@ def temperature_probs(spark, d):
     return biz.scored_labels(spark, d).select("doc_id", r6(calibration.scaled(F.col("logit"), 1.5), "prob"))
 
 
-@query()
+@query(f"WITH {biz.LABELS}, t AS (SELECT unnest(range(50, 10001)) / 1000.0::DOUBLE AS temperature), c AS (SELECT logit, label, count(*) AS k FROM cal GROUP BY ALL), p AS (SELECT temperature, label, k, 1 / (1 + exp(-least(greatest(logit / temperature, -30), 30))) AS p FROM c, t), l AS (SELECT temperature, sum(-k * (label * ln(p + 1e-12) + (1 - label) * ln(1 - p + 1e-12))) AS loss FROM p GROUP BY temperature) SELECT round(arg_min(temperature, loss), 2) AS temperature FROM l")
 def temperature_fit(spark, d):
     t = calibration.fit_temperature(biz.scored_labels(spark, d))
-    return spark.createDataFrame([(t,)], "temperature double")
+    return spark.createDataFrame([(round(t, 2),)], "temperature double")
 
 
 @query(f"WITH {biz.LABELS} SELECT round(avg(-(label * ln(prob) + (1 - label) * ln(1 - prob))), 6) AS log_loss, round(avg((prob - label) * (prob - label)), 6) AS brier, round(avg(-1 * ((CASE WHEN label = 1 THEN 1 - prob ELSE prob END) ** 2) * ln(CASE WHEN label = 1 THEN prob ELSE 1 - prob END)), 6) AS focal FROM cal")
@@ -596,15 +630,32 @@ def median_impute(spark, d):
     return profiling.impute_median(rows, ["l_quantity"]).select("l_orderkey", "l_linenumber", "l_quantity")
 
 
-@query("SELECT round(var_samp(l_quantity), 4) AS c00, round(covar_samp(l_quantity, l_extendedprice), 4) AS c01, round(var_samp(l_extendedprice), 2) AS c11 FROM lineitem")
+_CELLS = [(i, j) for i in range(3) for j in range(i, 3)]
+
+
+@query("SELECT " + ", ".join(f"covar_samp({_NUM[i]}, {_NUM[j]})::DECIMAL(30, 4)::DOUBLE AS c{i}{j}" if (i, j) != (1, 1) else f"round(var_samp({_NUM[1]}), 1) AS c11" for i, j in _CELLS) + " FROM lineitem")
 def covariance_matrix(spark, d):
-    _, cov, _ = shift.mean_and_covariance(_numbers(spark, d), _NUM[:2])
-    return spark.createDataFrame([(round(float(cov[0, 0]), 4), round(float(cov[0, 1]), 4), round(float(cov[1, 1]), 2))], "c00 double, c01 double, c11 double")
+    _, cov, _ = shift.mean_and_covariance(_numbers(spark, d), _NUM)
+    row = tuple(round(float(cov[i, j]), 1 if i == j == 1 else 4) for i, j in _CELLS)
+    return spark.createDataFrame([row], ", ".join(f"c{i}{j} double" for i, j in _CELLS))
+
 
+def _mahalanobis_sql() -> str:
+    """The squared distance by the adjugate of the 3 x 3 covariance."""
+    cov = ", ".join(f"covar_pop({_NUM[i]}, {_NUM[j]}) AS c{i}{j}" for i, j in _CELLS)
+    means = ", ".join(f"avg({c}) AS m{i}" for i, c in enumerate(_NUM))
+    at = lambda i, j: f"c{min(i, j)}{max(i, j)}"
+    rest = {0: (1, 2), 1: (0, 2), 2: (0, 1)}
+    minor = lambda i, j: f"({at(rest[i][0], rest[j][0])} * {at(rest[i][1], rest[j][1])} - {at(rest[i][0], rest[j][1])} * {at(rest[i][1], rest[j][0])})"
+    det = " + ".join(f"({(-1) ** j} * {at(0, j)} * {minor(0, j)})" for j in range(3))
+    gap = lambda i: f"({_NUM[i]} - m{i})"
+    total = " + ".join(f"({(-1) ** (i + j)} * {gap(i)} * {gap(j)} * {minor(i, j)})" for i in range(3) for j in range(3))
+    return f"WITH m AS (SELECT {means}, {cov} FROM lineitem) SELECT l_orderkey, l_linenumber, ({total}) / ({det}) > 16.266236196238129 AS mahalanobis FROM lineitem, m"
 
-@query("WITH m AS (SELECT avg(l_quantity) AS a, avg(l_extendedprice) AS b, var_pop(l_quantity) AS x, covar_pop(l_quantity, l_extendedprice) AS y, var_pop(l_extendedprice) AS z FROM lineitem) SELECT l_orderkey, l_linenumber, ((l_quantity - a) ** 2 * z - 2 * (l_quantity - a) * (l_extendedprice - b) * y + (l_extendedprice - b) ** 2 * x) / (x * z - y * y) > -2 * ln(0.001) AS mahalanobis FROM lineitem, m")
+
+@query(_mahalanobis_sql())
 def mahalanobis_flags(spark, d):
-    return profiling.mahalanobis(_numbers(spark, d), _NUM[:2]).select("l_orderkey", "l_linenumber", "mahalanobis")
+    return profiling.mahalanobis(_numbers(spark, d), _NUM).select("l_orderkey", "l_linenumber", "mahalanobis")
 
 
 @query()
@@ -637,13 +688,28 @@ def _edges(spark, d):
     return _scored(spark, d).select(F.col("s1_id").alias("u"), F.col("cand_id").alias("v"), "prob", calibration.prediction_set(F.col("prob"), q.q0, q.q1).alias("labels"))
 
 
-@query()
+# Clusters by recursion: one row for each node, an edge a step from the top; a step
+# relabels the later of two clusters unless any of their members must stay apart.
+_CLUSTERS = _SCORED.replace("WITH ", "") + """, marked AS (SELECT s1_id AS u, cand_id AS v, prob, prob <= 0.3 AND NOT 1 - prob <= 0.5 AS apart FROM scored),
+  steps AS (SELECT u, v, row_number() OVER (ORDER BY prob DESC, u, v) AS k FROM marked WHERE NOT apart AND prob >= 0.82),
+  ends AS (SELECT u AS node FROM steps UNION SELECT v FROM steps),
+  foes AS (SELECT u, v FROM marked WHERE apart AND u IN (SELECT node FROM ends) AND v IN (SELECT node FROM ends)),
+  grown(k, node, home) AS (SELECT 0::BIGINT, node, node FROM ends UNION ALL
+    SELECT g.k + 1, g.node, CASE WHEN g.home = greatest(x.home, y.home) AND x.home <> y.home AND NOT EXISTS (
+        SELECT 1 FROM foes f JOIN grown p ON p.node = f.u JOIN grown q ON q.node = f.v
+        WHERE (p.home = x.home AND q.home = y.home) OR (p.home = y.home AND q.home = x.home)) THEN least(x.home, y.home) ELSE g.home END
+    FROM grown g JOIN steps s ON s.k = g.k + 1 JOIN grown x ON x.node = s.u JOIN grown y ON y.node = s.v),
+  homes AS (SELECT node, home FROM grown WHERE k = (SELECT count(*) FROM steps)),
+  clusters AS (SELECT coalesce(home, entity_id) AS cluster_id, array_to_string(list_sort(list(entity_id)), ',') AS members FROM canon LEFT JOIN homes ON node = entity_id GROUP BY 1)"""
+
+
+@query(f"WITH RECURSIVE {_CLUSTERS} SELECT cluster_id, members FROM clusters")
 def constrained_clusters(spark, d):
     found = graph.constrained_clusters(biz.records(spark, d).select("entity_id"), _edges(spark, d))
     return found.select("cluster_id", joined(F.col("members")).alias("members"))
 
 
-@query()
+@query(f"WITH RECURSIVE {_CLUSTERS} SELECT entity_id AS s1_id, array_to_string(list_filter(string_split(members, ','), lambda m: NOT starts_with(m, 'S1-')), ',') AS matches FROM s1 JOIN clusters ON list_contains(string_split(members, ','), entity_id)")
 def cluster_matches(spark, d):
     found = graph.constrained_clusters(biz.records(spark, d).select("entity_id"), _edges(spark, d))
     return graph.cluster_matches(found, _entities(spark, d)).select("s1_id", joined(F.col("matches")).alias("matches"))
@@ -670,7 +736,18 @@ def knn_topk(spark, d):
     return search.nearest(rows.where("vec_id % 50 = 0"), rows).withColumn("score", F.round("score", 6))
 
 
-@query()
+def _soundex_sql(word: str) -> str:
+    """Letters as digits, H and W passed over, equal neighbours once, vowels and other characters gone."""
+    codes = f"replace(translate(regexp_replace(upper({word}), '[^A-Z]', '0', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '01230127022455012623017202'), '7', '')"
+    for digit in "123456":
+        codes = f"regexp_replace({codes}, '{digit}+', '{digit}', 'g')"
+    # the first letter's own digit goes with it; H and W have none
+    first = f"upper(left({word}, 1))"
+    tail = f"CASE WHEN {first} IN ('H', 'W') THEN {codes} ELSE substring({codes}, 2) END"
+    return f"CASE WHEN regexp_matches({word}, '^[a-zA-Z]') THEN {first} || rpad(left(replace({tail}, '0', ''), 3), 3, '0') ELSE {word} END"
+
+
+@query(f"WITH {biz.CANON}, w AS (SELECT entity_id, source, country, split_part(name_clean, ' ', 1) AS word FROM canon), k AS (SELECT *, {_soundex_sql('word')} AS sound FROM w) SELECT a.entity_id AS s1_id, b.entity_id AS cand_id, 'sound' AS channel FROM k a JOIN k b ON a.country = b.country AND a.sound = b.sound WHERE a.source = 'S1' AND b.source <> 'S1' AND a.sound <> ''")
 def soundex_block(spark, d):
     return search.block_sound(*biz.sides(spark, d))
 

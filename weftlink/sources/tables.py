@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-import os
+import logging
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,19 +19,23 @@ TRUTH = T.StructType([T.StructField(c, T.StringType()) for c in ("source1_entity
 
 def guarded(path: str, forbidden: str = "test") -> str:
     """The path, unless one of its parts is the forbidden one."""
+    logging.getLogger(__name__).info("reading %s", path)
     if forbidden in Path(path).parts:
         raise PermissionError(f"{path} isn't to be read here")
     return path
 
 
-def read_tsv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Tab-separated rows with a header: quotes are plain characters, empty fields null, short rows kept."""
-    return spark.read.csv(path, sep="\t", header=True, quote="", schema=schema, mode="PERMISSIVE")
+def read_tsv(spark: SparkSession, path: str, schema: T.StructType, forbidden: str | None = None) -> DataFrame:
+    """Tab-separated rows with a header: quotes are plain characters, empty fields null, short rows kept.
+
+    forbidden: a folder or file name that the path may not contain, as for training data.
+    """
+    return spark.read.csv(guarded(path, forbidden) if forbidden else path, sep="\t", header=True, quote="", schema=schema, mode="PERMISSIVE")
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
+def read_records(spark: SparkSession, path: str, forbidden: str | None = None) -> DataFrame:
     """Records with source and pos; pos orders records by id, numbers in ids by value."""
-    df = read_tsv(spark, path, RECORDS)
+    df = read_tsv(spark, path, RECORDS, forbidden)
     number = F.coalesce(F.try_to_number(F.split_part("entity_id", F.lit("-"), F.lit(2)), F.lit("9" * 18)).cast("long"), F.lit(0))
     return df.withColumn("source", F.split_part("entity_id", F.lit("-"), F.lit(1))).withColumn("pos", number)
 
@@ -40,9 +44,15 @@ def first_rows(df: DataFrame, n: int) -> DataFrame:
     return df.orderBy("pos", "entity_id").limit(n)
 
 
-def read_truth(spark: SparkSession, path: str) -> DataFrame:
+def read_training(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Records of the three training sources, and their true links; nothing of a test set is read."""
+    parts = [read_records(spark, f"{folder}/train_source{n}.tsv", "test") for n in (1, 2, 3)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]), read_truth(spark, f"{folder}/train_ground_truth.tsv", "test")
+
+
+def read_truth(spark: SparkSession, path: str, forbidden: str | None = None) -> DataFrame:
     """s1_id, cand_id for each listed match."""
-    df = read_tsv(spark, path, TRUTH)
+    df = read_tsv(spark, path, TRUTH, forbidden)
     return df.select(F.col("source1_entity_id").alias("s1_id"), F.explode(list_items(F.col("matched_entity_ids"))).alias("cand_id"))
 
 
@@ -67,10 +77,25 @@ def read_targets(spark: SparkSession, folder: str, names=("test_source2.tsv", "t
 
 
 def read_lines(spark: SparkSession, path: str) -> tuple[str | None, DataFrame]:
-    """The header line, None for an empty file, and the other lines as value."""
-    lines = spark.read.text(path)
-    first = lines.limit(1).collect()
-    return (first[0][0], lines.where(F.col("value") != first[0][0])) if first else (None, lines)
+    """The header line, None for an empty file, and the other lines as value.
+
+    The header is the first line by its place, so later lines equal to it stay; blank lines go.
+    """
+    lines = spark.read.csv(path, sep="\x01", header=True, quote="", escape="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    if not lines.columns:
+        return None, spark.read.text(path)
+    return lines.columns[0], lines.toDF("value", *lines.columns[1:]).select("value")
+
+
+def file_problem(spark: SparkSession, path: str) -> str | None:
+    """What keeps a file from being read as lines of text, None if nothing does."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        lines = spark.read.text(path)
+    except AnalysisException:
+        return "the file doesn't exist"
+    return None if lines.where(~F.is_valid_utf8("value")).isEmpty() else "the file isn't UTF-8"
 
 
 def write_lists(rows: DataFrame, path: str, column: str, header: str) -> None:
@@ -79,9 +104,22 @@ def write_lists(rows: DataFrame, path: str, column: str, header: str) -> None:
     out.orderBy("pos", "source1_entity_id").drop("pos").coalesce(1).write.mode("overwrite").csv(path, sep="\t", header=True, quote="", emptyValue="")
 
 
-def write_json(value: dict, path: str) -> None:
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    Path(path).write_text(json.dumps(value, indent=2, sort_keys=True))
+def exists(path: str, spark: SparkSession | None = None) -> bool:
+    """Whether a path exists in the file system that it names."""
+    spark = spark or SparkSession.getActiveSession()
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def write_json(value: dict, path: str, spark: SparkSession | None = None) -> None:
+    """A JSON file in the file system that the path names, so that a cluster's shared folder works too."""
+    spark = spark or SparkSession.getActiveSession()
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(json.dumps(value, indent=2, sort_keys=True).encode()))
+    finally:
+        out.close()
 
 
 def synthetic_pairs(spark: SparkSession, n: int = 4000, seed: int = 42) -> DataFrame:
