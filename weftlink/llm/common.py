@@ -94,6 +94,37 @@ def words_of(text: Column) -> Column:
     return F.when(F.coalesce(inner, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(inner, r"[ \t-\r]+"))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of df has, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: So many keys at most can each have more than one in HOT_KEYS of all rows.
+HOT_KEYS = 50_000
+
+
+def looked_up(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of facts (one row a key), null where there is none.
+
+    A key with more than 4,096 rows and more than one in HOT_KEYS of all is
+    hot.  There are HOT_KEYS of them at most, whatever the input, so theirs are
+    sent to all tasks, and no task of the shuffled rest holds a hot key.
+    """
+    total = rows.count()
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > max(4096, total // HOT_KEYS))
+    if sizes.isEmpty():
+        return rows.join(facts, key, "left")
+    hot = materialise(sizes.select(key), "hot")
+    near = rows.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(facts.join(F.broadcast(hot), key, "left_semi")), key, "left")
+    return near.unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(facts, key, "left"))
+
+
 def tasks_for(df: DataFrame, each: int = 1) -> int:
     """A number of partitions that follows the input: its splits hold a bounded number of bytes."""
     spark = df.sparkSession

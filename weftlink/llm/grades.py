@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .language import sample
+from .language import sample, with_texts
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -119,11 +119,16 @@ def learn(docs: DataFrame, ratings: DataFrame, grades: int = 3, most: int = 6000
     """Train on at most ``most`` rated rows.
 
     docs: doc_id, text; ratings: doc_id, grade from 0 to grades - 1.  Null
-    ratings are left out; a document that is rated twice counts twice.
+    ratings are left out.  A document with two grades counts once with each,
+    and repeated rows count once.  Where several texts share a rated id, the
+    rows of lowest hash are taken, ``most`` in all.
     """
-    rated = sample(ratings.where(F.col("doc_id").isNotNull() & F.col("grade").between(0, grades - 1)).select("doc_id", F.col("grade").cast("int").alias("grade")), F.col("doc_id"), most)
-    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(rated), "doc_id")
-    found = bags(texts, bits, "doc_id", "grade").orderBy("doc_id", "grade").limit(2 * most)
+    rated = ratings.where(F.col("doc_id").isNotNull() & F.col("grade").between(0, grades - 1)).select("doc_id", F.col("grade").cast("int").alias("grade"))
+    rated = sample(rated, F.col("doc_id"), most, once=True)
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    keys = ["doc_id", "grade", "text_hash"]
+    few = sample(texts.select("doc_id", "text_hash").join(F.broadcast(rated), "doc_id").select(*keys), F.col("doc_id"), most, once=True)
+    found = bags(with_texts(texts, few, ["doc_id", "text_hash"]), bits, *keys).orderBy(*keys)
     return train([(r["grade"], np.asarray(r["idx"], np.int64)) for r in found.toLocalIterator()], bits, grades)
 
 
@@ -131,7 +136,7 @@ def grade(docs: DataFrame, model: Model, target: int = 2, least: float = 0.5) ->
     """doc_id, expected_grade, tail (P(grade >= target)), kept (tail >= least) of every row.
 
     A null text is an empty one.  Repeated rows stay repeated; other columns
-    are ignored.
+    are ignored.  An empty table gives an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BREAKS, bind, materialise, words_of
+from .common import BREAKS, bind, fresh, looked_up, materialise, words_of
 
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 5
@@ -83,13 +83,22 @@ def host_rates(judged: DataFrame) -> DataFrame:
     return hosts.select("host", ((F.col("failed") + mean * strength) / (F.col("n") + strength)).alias("host_rate"))
 
 
-#: Up to so many hosts are sent to all tasks; more are joined by shuffling.
+#: Up to so many hosts are sent to all tasks; of more only those with many documents are.
 FEW_HOSTS = 100_000
 
 
-def sent(hosts: DataFrame) -> DataFrame:
-    """The hosts, marked for broadcast if there are few: documents then stay where they are."""
-    return F.broadcast(hosts) if hosts.limit(FEW_HOSTS + 1).count() <= FEW_HOSTS else hosts
+def with_hosts(rows: DataFrame, hosts: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of hosts (one row a host), null where there are none.
+
+    Few hosts are sent to all tasks, so documents stay where they are.  Of more
+    the hot ones are, and other documents are shuffled by host: the rows are the
+    same either way, and no task holds all documents of a hot host or all those
+    without one.
+    """
+    if hosts.limit(FEW_HOSTS + 1).count() <= FEW_HOSTS:
+        return rows.join(F.broadcast(hosts), key, "left")
+    named = looked_up(rows.where(F.col(key).isNotNull()), hosts, key)
+    return named.unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True)
 
 
 def host_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = 10, max_repeat_pct: int = 20, max_host_rate: float = 0.5) -> DataFrame:
@@ -104,20 +113,23 @@ def host_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counts = materialise(rule_counts(docs, id_col, text_col, host_col), "rules")
     judged = counts.withColumn("base_failed", failing(min_words, max_repeat_pct))
     verdict = ~F.col("base_failed") & (F.coalesce("host_rate", F.lit(0.0)) <= max_host_rate)
-    return judged.join(sent(host_rates(judged)), "host", "left").withColumn("kept", verdict)
+    return with_hosts(judged, host_rates(judged), "host").withColumn("kept", verdict)
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source", min_words: int = 10, max_repeat_pct: int = 20, max_host_rate: float = 0.5) -> DataFrame:
     """The rows, with all their columns, that host_rules() would keep.
 
     The base verdict is written beside each row, so no row has to be found
-    again by its id: repeated and null ids are kept apart.
+    again by its id: repeated and null ids are kept apart.  A null or empty
+    text fails; a row without a host is judged by its text alone.  Columns may
+    have any names.  An empty table gives an empty one.
     """
+    counts, key, failed, refused = fresh(docs, "counts", "host_key", "failed", "refused")
     judged = materialise(
-        docs.withColumn("__rules", rules(F.col(text_col))).select("*", F.col(host_col).alias("__host")).withColumn("__failed", (F.col("__rules.n_words") < min_words) | (F.lit(100) * F.col("__rules.n_repeat_words") > F.lit(max_repeat_pct) * F.col("__rules.n_words"))),
+        docs.withColumn(counts, rules(F.col(text_col))).select("*", F.col(host_col).alias(key)).withColumn(failed, (F.col(f"{counts}.n_words") < min_words) | (F.lit(100) * F.col(f"{counts}.n_repeat_words") > F.lit(max_repeat_pct) * F.col(f"{counts}.n_words"))),
         "judged",
     )
-    rates = host_rates(judged.select(F.col("__host").alias("host"), F.col("__failed").alias("base_failed")))
-    bad = rates.where(F.col("host_rate") > max_host_rate).select(F.col("host").alias("__host"))
-    good = judged.where(~F.col("__failed")).join(sent(bad), "__host", "left_anti")
+    rates = host_rates(judged.select(F.col(key).alias("host"), F.col(failed).alias("base_failed")))
+    bad = rates.where(F.col("host_rate") > max_host_rate).select(F.col("host").alias(key), F.lit(True).alias(refused))
+    good = with_hosts(judged.where(~F.col(failed)), bad, key).where(F.col(refused).isNull())
     return good.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -74,14 +74,14 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-def train(rows: list, bits: int, dim: int = 16, epochs: int = 12, rate: float = 2.0, precision: float = 0.995, seed: int = 5) -> Model:
+def train(rows: list, bits: int, dim: int = 8, epochs: int = 12, rate: float = 2.0, precision: float = 0.995, seed: int = 5) -> Model:
     """rows: (language, idx, weight).  Every fifth row is kept for calibration."""
     languages = tuple(sorted({r[0] for r in rows}))
     if not languages:
         return Model((), np.zeros((0, 1 << bits)), np.zeros(0), 1.0, 1.0, bits)
     number = {x: i for i, x in enumerate(languages)}
     rng = np.random.default_rng(seed)
-    embed, soft, bias = rng.normal(0, 0.1, (1 << bits, dim)), rng.normal(0, 0.1, (dim, len(languages))), np.zeros(len(languages))
+    embed, soft, bias = *(rng.normal(0, 0.1, shape).astype(np.float32) for shape in ((1 << bits, dim), (dim, len(languages)))), np.zeros(len(languages), np.float32)
     data = [(number[a], i, w) for a, i, w in rows]
     fit = [x for k, x in enumerate(data) if k % 5 or len(data) < 10]
     apart = [x for k, x in enumerate(data) if k % 5 == 0] or fit
@@ -96,9 +96,9 @@ def train(rows: list, bits: int, dim: int = 16, epochs: int = 12, rate: float =
             back = soft @ g
             soft -= step * np.outer(mean, g)
             bias -= 0.1 * step * g
-            embed[idx] -= (step * 10) * w[:, None] * back
+            embed[idx] -= np.float32(step * 10) * w[:, None] * back
             done += 1
-    table = (embed @ soft).T.copy()
+    table, bias = (embed @ soft).T.astype(float), bias.astype(float)
     z = np.array([table[:, i] @ w + bias for _, i, w in apart])
     y = np.array([a for a, _, _ in apart])
     choices = np.geomspace(0.2, 20, 80)
@@ -123,23 +123,38 @@ def scores(model: Model, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     return softmax((z / np.maximum(total, 1)[:, None] + model.bias) / model.temperature)
 
 
-def sample(rows: DataFrame, key: Column, most: int) -> DataFrame:
-    """At most ``most`` rows, the same ones in every run: those whose key hashes lowest."""
+def sample(rows: DataFrame, key: Column, most: int, once: bool = False) -> DataFrame:
+    """At most ``most`` rows, the same ones in every run: those whose key hashes lowest.
+
+    Of rows with one key, those come first whose other columns hash lowest.
+    once: repeated rows count once.
+    """
     n = rows.select(key.alias("k")).count()
     share = min(1.0, 1.2 * (most + 50) / max(n, 1))
     h = F.xxhash64(key)
     near = rows.where(F.pmod(h, F.lit(1 << 24)) < F.lit(int(share * (1 << 24)) + 1))
-    return near.withColumn("__h", h).orderBy("__h").limit(most).drop("__h")
+    return (near.distinct() if once else near).orderBy(h, F.xxhash64(*rows.columns)).limit(most)
+
+
+def with_texts(docs: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
+    """few (a bounded sample with the keys) with the texts of docs, each different row once.
+
+    The sample is sent to the documents, so that only the texts wanted move.
+    """
+    return docs.join(F.broadcast(few.distinct()), keys).dropDuplicates([*few.columns, "text_hash"])
 
 
 def learn(docs: DataFrame, usable: Column, most: int = 3000, bits: int = 15) -> Model:
     """Train on at most ``most`` labelled rows of docs (doc_id, text, lang) that are usable.
 
-    That bound also bounds what comes to the driver: a row is at most 4 * 2**bits pairs.
+    Rows are chosen by their keys before any text moves, and a repeated row
+    counts once.  The bound also bounds what comes to the driver: a row is at
+    most 2**bits pairs, however long its text is.
     """
-    rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text", "lang")
-    few = sample(rows, F.col("doc_id"), most)
-    found = bags(few, bits, "doc_id", "lang").orderBy("doc_id").toLocalIterator()
+    rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", F.xxhash64("text").alias("text_hash"), "text")
+    keys = ["doc_id", "lang", "text_hash"]
+    few = sample(rows.select(*keys), F.col("doc_id"), most, once=True)
+    found = bags(with_texts(rows, few, keys), bits, *keys).orderBy(*keys).toLocalIterator()
     return train([(r["lang"], np.frombuffer(r["idx"], "<i4"), np.frombuffer(r["weight"], "<f4")) for r in found if r["idx"]], bits)
 
 
@@ -152,7 +167,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     A text that is null or has no letter is ``und`` with score 0, as is every
     text when there was nothing to learn from.  Texts are read whole.  Repeated
-    rows stay repeated; other columns are ignored.
+    rows stay repeated; other columns are ignored.  An empty table gives an
+    empty one.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bind, materialise
+from .common import bind, fresh, looked_up, materialise
 from .language import sample
 
 #: Every ASCII character but letters; letters of other scripts are letters here.
@@ -143,7 +143,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict, **limits) -> DataFram
     tokens.  Repeated rows stay repeated; other columns are ignored.
     """
     soft, rate = solve(docs, labels, targets, **limits)
-    return soft.select("doc_id", "n_tokens", *(F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(targets)), rate.alias("rate"), F.explode(F.sequence(F.lit(1).cast("long"), "n_rows")).alias("__copy")).drop("__copy")
+    return soft.select("doc_id", "n_tokens", *(F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(targets)), rate.alias("rate"), F.explode(F.sequence(F.lit(1).cast("long"), "n_rows")).alias("copy_number")).drop("copy_number")
 
 
 def solve(docs: DataFrame, labels: DataFrame, targets: dict, anchor: str | None = None, **limits) -> tuple[DataFrame, Column]:
@@ -156,11 +156,15 @@ def draw(docs: DataFrame, labels: DataFrame, targets: dict, **limits) -> DataFra
     """docs with each row as often as its rate says.
 
     A rate of 2.3 gives two copies and, for three in ten documents by the hash
-    of their id and text, a third.  All columns are kept.
+    of their id and text, a third.  All columns are kept, whatever their names.
+    A null text is one without tokens, and null ids are one id.  Rows with the
+    same id and text have the same rate.  An empty table gives an empty one.
     """
     soft, rate = solve(docs, labels, targets, **limits)
     part = F.pmod(F.xxhash64(F.lit(9), "doc_id", "text_hash"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    soft = soft.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.floor(rate + part).cast("int").alias("__copies"))
-    rows = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__hash", F.xxhash64("text"))
-    both = rows.join(soft, rows["__id"].eqNullSafe(soft["__id"]) & (rows["__hash"] == soft["__hash"])).where(F.col("__copies") > 0)
-    return both.select(*(rows[f"`{c}`"] for c in docs.columns), F.explode(F.sequence(F.lit(1), "__copies")).alias("__copy")).drop("__copy")
+    key, copies, nth = fresh(docs, "key", "copies", "nth")
+    # one key of id and text; a null id is told from all others by its flag
+    both = lambda text_hash: F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), text_hash.alias("hash"))
+    soft = soft.select(both(F.col("text_hash")).alias(key), F.floor(rate + part).cast("int").alias(copies))
+    rows = looked_up(docs.withColumn(key, both(F.xxhash64("text"))), soft, key).where(F.col(copies) > 0)
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.sequence(F.lit(1), copies)).alias(nth)).drop(nth)

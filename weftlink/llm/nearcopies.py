@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import exchange as X
 from . import kernels as K
-from .common import forget, materialise
+from .common import forget, fresh, looked_up, materialise
 from .components import components
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -234,8 +234,8 @@ def group(docs: DataFrame, width: int = 4, percent: int = 80, bands: int = 40, r
     forget(sets)
     placed = materialise(classes.select("cid", "first").join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "first", F.coalesce("root", "cid").alias("root")), "placed")
     reps = placed.groupBy("root").agg(F.min("first").alias("rep"))
-    of_class = materialise(placed.join(reps, "root").select("cid", "rep"), "reps")
-    both = marked.select("did", "uid", "n", "cid").join(of_class, "cid", "left")
+    of_class = materialise(looked_up(placed, reps, "root").select("cid", "rep"), "reps")
+    both = looked_up(marked.select("did", "uid", "n", "cid"), of_class, "cid")
     return both.select("did", "uid", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("rep")).otherwise(F.struct("did", "uid")).alias("rep"))
 
 
@@ -254,9 +254,16 @@ def near_copies(docs: DataFrame, **options) -> DataFrame:
 
 
 def dedup_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one row of each component, all columns as they are."""
+    """docs with one row of each component, all columns as they are, whatever their names.
+
+    It is the row of the smallest id, of those with one id one by a hash of the
+    text; of repeated rows one stays.  Texts without words, and null ones, stay,
+    as they are linked with nothing; null ids come last.  An empty table gives
+    an empty one.
+    """
     found = group(docs, id_col=id_col, text_col=text_col, **options)
-    keep = found.where((F.col("did") == F.col("rep.did")) & (F.col("uid") == F.col("rep.uid"))).select(F.col("did").alias("__did"), F.col("uid").alias("__uid")).distinct()
+    names = fresh(docs, "did", "uid")
+    keep = found.where((F.col("did") == F.col("rep.did")) & (F.col("uid") == F.col("rep.uid"))).select("did", "uid").distinct().toDF(*names)
     did = F.col(f"`{id_col}`").cast("long")
-    rows = docs.withColumn("__did", F.coalesce(did, F.lit(X.LAST))).withColumn("__uid", F.xxhash64(did, F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
-    return rows.join(keep.hint("shuffle_hash"), ["__did", "__uid"], "left_semi").dropDuplicates(["__did", "__uid"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = docs.withColumn(names[0], F.coalesce(did, F.lit(X.LAST))).withColumn(names[1], F.xxhash64(did, F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
+    return rows.join(keep.hint("shuffle_hash"), names, "left_semi").dropDuplicates(names).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -274,18 +274,22 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "
     check_col names a column that says whether decoding gives the text back;
     a text that itself holds the space symbol comes back with a space.  Each
     row gives one row, so repeated rows stay repeated; ids_col and check_col
-    replace columns of the same name.
+    replace columns of the same name, and others may have any name.  An empty
+    table gives an empty one.
     """
+    from .common import fresh
+
     name = _share(docs, model)
     keep = [c for c in (docs.columns if keep is None else keep) if c not in (text_col, ids_col, check_col)]
-    rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text_col).alias("__text"))
+    raw_text = fresh(docs, "raw_text")[0]
+    rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text_col).alias(raw_text))
 
     def run(batches):
         t = _transducer(name)
         t.forget()  # an earlier task may have been stopped midway
-        for b in K.slices(batches, "__text"):
+        for b in K.slices(batches, raw_text):
             ids, sizes, same = [], [], []
-            for text in b.column("__text").to_pylist():
+            for text in b.column(raw_text).to_pylist():
                 text = text or ""
                 one = t.encode(text)
                 ids.append(np.array(one, np.int32))
