@@ -71,3 +71,42 @@ def test_rows_keep_their_columns_and_whole_characters(rows):
     out = S.dedup_rows(rows(data, SCHEMA))
     assert out.columns == ["doc_id", "text", "n_bytes", "k1"]
     assert sorted((r["doc_id"], r["text"], r["n_bytes"], r["k1"]) for r in out.collect()) == [(1, "x漢", "a", 1), (2, "y", "b", 2), (3, "", "c", 3)]
+
+
+def test_hot_right_sides_are_compared_window_by_window(rows, monkeypatch):
+    for sides, most in ((1, 4096), (8, 2)):
+        monkeypatch.setattr(S, "SIDES", sides)
+        monkeypatch.setattr(S, "MOST", most)
+        compare(rows, corpus(5, 50, 60), 60)
+
+
+def test_corpus_order_is_that_of_the_suffixes():
+    """Pieces of a small text, each from before its first trigger on, against sorted suffixes."""
+    rng, length = random.Random(1), 60
+    words = ["".join(rng.choice("abcd") for _ in range(rng.randint(2, 9))) for _ in range(40)]
+    pieces, sentences = [], [[rng.choice(words) for _ in range(rng.randint(5, 30))] for _ in range(12)]
+    for _ in range(200):
+        text = " ".join(w for _ in range(3) for w in rng.choice(sentences)).encode()
+        raw, at = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+        t, _ = S.triggers(raw, at, S.K.prefix_sums(S.K.BYTE[0][raw], 0), length)
+        for before, here in zip([-1, *t[:-1].tolist()], t.tolist(), strict=True):
+            first, last = max(before + 1, here - 45), min(here, len(text) - length)
+            if first <= last:
+                pieces.append(text[first : last + length])
+    assert len(pieces) > 500
+    piece, start, alike = S.corpus_order(pieces, length)
+    found = [pieces[p][s:] for p, s in zip(piece.tolist(), start.tolist(), strict=True)]
+    assert sorted((p, s) for p, s in zip(piece.tolist(), start.tolist(), strict=True)) == [(i, k) for i, p in enumerate(pieces) for k in range(len(p) - length + 1)]
+    whole = Counter(w[:length] for w in found)
+    runs = [w[:length] for w, a in zip(found, alike.tolist(), strict=True) if not a]
+    assert len(runs) == len(whole) and max(whole.values()) > 1  # equal windows stand side by side, once
+    phrases = S.phrases(pieces[0], [7, 19])
+    assert phrases == [pieces[0][: 7 + S.TRIGGER], pieces[0][7 : 19 + S.TRIGGER], pieces[0][19:]]
+
+
+def test_a_very_long_text(rows):
+    rng = random.Random(2)
+    text = "".join(rng.choice("abcdefghij ") for _ in range(300_000))
+    data = [text + text[1000:2000], "z" * 50 + text[5000:5600], text[::-1]]
+    out = {r["doc_id"]: r for r in S.dedup(rows([(i, t, "", 0) for i, t in enumerate(data)], SCHEMA)).collect()}
+    assert (out[0]["n_removed"], out[0]["n_spans"]) == (1000 + 1000 + 600 - 0, 3) and (out[1]["n_removed"], out[2]["n_removed"]) == (600, 0)

@@ -27,8 +27,8 @@ from . import kernels as K
 #: Bytes of text that a task handles at once.
 BATCH = 1 << 21
 LAST = (1 << 63) - 1
-PACKED = "bucket int, n int, keys binary, extra binary, gaps binary, docs binary, answers binary"
-_PACKED = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), *((c, pa.binary()) for c in ("keys", "extra", "gaps", "docs", "answers"))])
+PACKED = "bucket int, n int, keys binary, extra binary, gaps binary, docs binary, pieces binary, answers binary"
+_PACKED = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), *((c, pa.binary()) for c in ("keys", "extra", "gaps", "docs", "pieces", "answers"))])
 _ANSWERS = pa.schema([("bucket", pa.int32()), ("answers", pa.binary())])
 
 
@@ -56,13 +56,15 @@ class Entries:
     """Fingerprints of one batch or bucket.
 
     key: 64 bits of which a bucket keeps 40 besides its number; extra: columns
-    of the given dtypes; doc: number of the document; at: place in it.
+    of the given dtypes; doc: number of the document; at: place in it; pieces:
+    strings of up to 64 KB that go with the entries, none if there are none.
     """
 
     key: np.ndarray
     extra: list
     doc: np.ndarray
     at: np.ndarray
+    pieces: list[bytes] | None = None
 
 
 @dataclass
@@ -95,6 +97,7 @@ def pack(entries: Entries, docs: Docs, n_buckets: int) -> Iterator[pa.RecordBatc
                 "extra": b"".join(x[take].tobytes() for x in entries.extra),
                 "gaps": gap.astype("<u2" if gap.max(initial=0) < 65536 else "<u4").tobytes(),
                 "docs": table.tobytes(),
+                "pieces": _joined([entries.pieces[i] for i in take]) if entries.pieces is not None else None,
                 "answers": None,
             }
         )
@@ -102,6 +105,15 @@ def pack(entries: Entries, docs: Docs, n_buckets: int) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_pylist(rows, _PACKED)
 
 
+def _joined(pieces: list[bytes]) -> bytes:
+    return np.array([len(p) for p in pieces], "<u2").tobytes() + b"".join(pieces)
+
+
+def _parted(joined: bytes, n: int) -> list[bytes]:
+    ends = (2 * n + np.cumsum(np.frombuffer(joined, "<u2", n), dtype=np.int64)).tolist()
+    return [joined[a:b] for a, b in zip([2 * n, *ends], ends, strict=False)]
+
+
 def settled(docs: Docs, doc: np.ndarray, kind: np.ndarray, spans: np.ndarray, n_buckets: int) -> Iterator[tuple[int, bytes]]:
     """Answers packed for the buckets of their documents; spans has one row of numbers for each answer."""
     if not len(doc):
@@ -146,7 +158,7 @@ def merged(packed: list[bytes], kinds: tuple[int, ...]) -> Iterator[pa.RecordBat
 
 
 def unpack(rows: list[dict], dtypes: tuple) -> tuple[Entries, Docs]:
-    keys, extra, numbers, places, dids, uids, base = [], [[] for _ in dtypes], [], [], [], [], 0
+    keys, extra, numbers, places, dids, uids, pieces, base = [], [[] for _ in dtypes], [], [], [], [], [], 0
     for r in rows:
         n = r["n"]
         wide = np.zeros((n, 8), np.uint8)
@@ -165,8 +177,10 @@ def unpack(rows: list[dict], dtypes: tuple) -> tuple[Entries, Docs]:
         dids.append(did)
         uids.append(uid)
         base += len(did)
+        if r["pieces"] is not None:
+            pieces += _parted(r["pieces"], n)
     cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-    return Entries(cat(keys, np.uint64), [cat(x, t) for x, t in zip(extra, dtypes, strict=True)], cat(numbers, np.int32), cat(places, np.int32)), Docs(cat(dids, np.int64), cat(uids, np.int64))
+    return Entries(cat(keys, np.uint64), [cat(x, t) for x, t in zip(extra, dtypes, strict=True)], cat(numbers, np.int32), cat(places, np.int32), pieces), Docs(cat(dids, np.int64), cat(uids, np.int64))
 
 
 def run(texts: DataFrame, carry: list[str], n_buckets: int, send: Callable, decide: Callable, dtypes: tuple, kinds: tuple[int, ...]) -> DataFrame:
@@ -193,7 +207,7 @@ def run(texts: DataFrame, carry: list[str], n_buckets: int, send: Callable, deci
             if own.any():
                 yield b.filter(pa.array(own)).select(["bucket", "answers"])
             if not own.all():
-                packed += b.filter(pa.array(~own)).select(["n", "keys", "extra", "gaps", "docs"]).to_pylist()
+                packed += b.filter(pa.array(~own)).select(["n", "keys", "extra", "gaps", "docs", "pieces"]).to_pylist()
         if packed:
             entries, docs = unpack(packed, dtypes)
             packed.clear()

@@ -2,22 +2,25 @@
 
 A rolling hash over a few bytes places triggers that depend on content alone,
 so equal strings are parsed alike wherever they stand.  Every window of the
-wanted length belongs to the first trigger in it.  A trigger's windows are given
-by what stands to its left, a suffix of a phrase of the dictionary, and by what
-stands to its right, a suffix of the parse; so windows are compared as pairs of
-those instead of byte by byte:
-
-* triggers are brought together by their right side, as far as every window
-  reaches; where that is unique, no window of the trigger is repeated;
-* triggers equal in both sides are repeated as a whole, with all their windows,
-  however many copies there are: this settles the bulk of a repetitive corpus;
-* only where a right side meets different left sides or ends, at the rims of
-  repeats, are single windows compared.
-
-Suffixes are grouped by 100-bit fingerprints rather than put in alphabetical
-order: equality of windows of one length is all that is asked, and a group, in
-contrast to a stretch of a suffix array, can be cut up when it is hot.  Windows
-without a trigger, as in monotonous text, are compared one by one.
+wanted length belongs to the first trigger in it; the phrase before the trigger
+is its left side, the phrases after it its right side.
+
+* Triggers are brought together by their right side, as far as every window
+  reaches; where that is unique, no window of the trigger is repeated.
+* Triggers equal in both sides are repeated as a whole, with all their windows,
+  however many copies there are: this settles the bulk of a repetitive corpus.
+* Where a right side meets different left sides or ends, at the rims of
+  repeats, a bucket holds all the strings in question.  They are parsed into a
+  dictionary of distinct phrases and lists of their ranks; the sorted phrase
+  suffixes and the sorted parse suffixes, the suffix arrays of both, combine
+  into the corpus order of the windows, and neighbours in that order that share
+  a whole window are repeats.
+
+So the corpus order is made where repeats begin and end, a bucket at a time;
+elsewhere it would only say again what the first two steps have settled.  A
+right side with very many different left sides is hot: one bucket can't hold
+them all, so their windows are compared one by one by 100-bit fingerprints, as
+are windows without a trigger near, as in monotonous text.
 """
 
 from __future__ import annotations
@@ -34,7 +37,9 @@ from . import kernels as K
 from .common import materialise
 
 TRIGGER = 12
-SURE, CHECK, BOTH, HIT = 1, 2, 3, 4
+SURE, CHECK, BOTH, HIT, ORDER, KNOWN = 1, 2, 3, 4, 5, 6
+PIECE = 2  # a flag of entries that are strings, not windows
+SIDES, MOST = 8, 4096  # left sides of one right side: of a batch, and in all, that are put in order
 _LEFT = (K.U64(0x9E3779B97F4A7C15), K.U64(0xD1B54A32D192ED03))
 
 
@@ -48,9 +53,20 @@ def triggers(raw: np.ndarray, at: np.ndarray, sums: np.ndarray, length: int) ->
     return found[whole], doc[whole]
 
 
+def reaches(length: int) -> tuple[tuple[int, int], tuple[int, int]]:
+    """How far before its trigger a window starts, in two bands; windows of a band share what follows the trigger."""
+    return (0, length - (length * 16) // 25), (length - (length * 16) // 25 + 1, length - length // 4)
+
+
 def parse(texts: DataFrame, n_buckets: int, length: int) -> DataFrame:
-    """Pairs of first and last window start as k1 (SURE), k2 (CHECK) and k3 (BOTH)."""
-    reach = ((0, length - (length * 16) // 25), (length - (length * 16) // 25 + 1, length - length // 4))
+    """Pairs of first and last window start, of all windows that can be repeated, by kind as k1, k2, k3, k5 and k6.
+
+    SURE: repeated.  ORDER: to be put in corpus order.  KNOWN: repeated, and to
+    be put in order for others' sake.  CHECK and BOTH are the same for windows
+    that are compared one by one: those of a hot right side, and those without
+    a trigger near.
+    """
+    reach = reaches(length)
 
     def send(raw, at, _):
         sums, other = K.prefix_sums(K.BYTE[0][raw], 0), K.prefix_sums(K.BYTE[1][raw], 1)
@@ -62,9 +78,8 @@ def parse(texts: DataFrame, n_buckets: int, length: int) -> DataFrame:
         for band, (lo, hi) in enumerate(reach):
             a, b = np.maximum(d_lo, lo), np.minimum(d_hi, hi)
             k = np.flatnonzero(a <= b)
-            right = K.spans(sums, t[k], t[k] + length - hi)
             both = K.spans(other, t[k] - b[k], t[k] - a[k] + length, 1)
-            parts.append((K.mixed(right + K.U64(band)), K.mixed(both + a[k].astype(K.U64) * _LEFT[0] + b[k].astype(K.U64) * _LEFT[1]), doc[k], t[k] - at[doc[k]], a[k], b[k]))
+            parts.append((_right(sums, t[k], band, hi, length), K.mixed(both + a[k].astype(K.U64) * _LEFT[0] + b[k].astype(K.U64) * _LEFT[1]), doc[k], t[k] - at[doc[k]], a[k], b[k]))
         # windows far before their trigger, and those behind a text's last one
         far = np.maximum(d_lo, reach[-1][1] + 1)
         k = np.flatnonzero(far <= d_hi)
@@ -80,16 +95,17 @@ def parse(texts: DataFrame, n_buckets: int, length: int) -> DataFrame:
         copies = np.ones(len(order), bool)
         copies[new] = False
         answers.append((doc[order[copies]], SURE, span[order[copies]]))
-        # at most two different left sides of a right side are sent; more are known to need a check
+        # a few different left sides of a right side are sent; with more it is hot, and all of it is compared window by window
         rep, again = order[new], size > 1
         by = np.lexsort((~again, right[rep]))
         rep, again = rep[by], again[by]
         head = np.flatnonzero(np.concatenate([[True], right[rep[1:]] != right[rep[:-1]]])) if len(rep) else rep
-        nth = np.arange(len(rep)) - np.repeat(head, np.diff(np.append(head, len(rep))))
-        rest = nth >= 2
+        sides = np.diff(np.append(head, len(rep)))
+        nth, many = np.arange(len(rep)) - np.repeat(head, sides), np.repeat(sides > SIDES, sides)
+        rest = nth >= SIDES
         for kind, which in ((BOTH, rest & again), (CHECK, rest & ~again)):
             answers.append((doc[rep[which]], kind, span[rep[which]]))
-        go, flag = rep[~rest], again[~rest]
+        go, flag = rep[~rest], (again | (many << 1))[~rest]
         entries = X.Entries(right[go], [both[go], flag.astype(np.uint8), lo[go].astype("<u2"), hi[go].astype("<u2")], doc[go], t[go])
         return entries, X.together(answers)
 
@@ -100,67 +116,170 @@ def parse(texts: DataFrame, n_buckets: int, length: int) -> DataFrame:
         if not len(order):
             return X.together([(e.doc, SURE, span)])
         size = np.diff(np.append(new, len(order)))
-        again = (size > 1) | (np.maximum.reduceat(flag[order], new) > 0)
+        again = (size > 1) | (np.maximum.reduceat(flag[order] & 1, new) > 0)
         key = e.key[order[new]]
         head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        mixed = np.repeat(np.diff(np.append(head, len(key))) > 1, np.diff(np.append(head, len(key))))
+        sides = np.diff(np.append(head, len(key)))
+        hot = (sides > MOST) | np.logical_or.reduceat(np.logical_or.reduceat(flag[order] > 1, new), head)
+        mixed, hot = np.repeat(sides > 1, sides), np.repeat(hot, sides)
         leads = np.zeros(len(order), bool)
         leads[new] = True
-        again, mixed = np.repeat(again, size), np.repeat(mixed, size)
-        cases = ((SURE, again & ~(mixed & leads)), (BOTH, again & mixed & leads), (CHECK, ~again & mixed))
+        again, mixed, hot = np.repeat(again, size), np.repeat(mixed, size), np.repeat(hot, size)
+        cases = ((SURE, again & ~((mixed | hot) & leads)), (BOTH, again & hot & leads), (CHECK, ~again & hot), (KNOWN, again & mixed & ~hot & leads), (ORDER, ~again & mixed & ~hot))
         return X.together([(e.doc[order[c]], kind, span[order[c]]) for kind, c in cases])
 
-    return X.run(texts, [], n_buckets, send, decide, ("<u8", "u1", "<u2", "<u2"), (SURE, CHECK, BOTH))
+    return X.run(texts, [], n_buckets, send, decide, ("<u8", "u1", "<u2", "<u2"), (SURE, CHECK, BOTH, ORDER, KNOWN))
 
 
-def _expand(batch: pa.RecordBatch, name: str, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, window start in the batch) of all windows in a column of pairs."""
+def _right(sums: np.ndarray, t: np.ndarray, band: int, hi: int, length: int) -> np.ndarray:
+    """A key of what follows a trigger, as far as all windows of a band reach."""
+    return K.mixed(K.spans(sums, t, t + length - hi) + K.U64(band))
+
+
+def phrases(piece: bytes, triggers_at: list[int]) -> list[bytes]:
+    """The piece cut at its triggers; a phrase ends with the trigger that the next one begins with."""
+    cuts = [0, *(t for t in triggers_at if t), len(piece)]
+    return [piece[a : b + TRIGGER] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def ranked(items: list) -> np.ndarray:
+    """The rank of each item among the distinct ones in their order."""
+    place = {x: i for i, x in enumerate(sorted(set(items)))}
+    return np.array([place[x] for x in items], np.int64)
+
+
+def corpus_order(pieces: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, start, alike) of all windows in the order of the suffixes that they begin.
+
+    The pieces, each with its windows' first trigger, are parsed into phrases.
+    The distinct phrases, sorted, are the dictionary, and a piece is the list of
+    their ranks: the parse.  A window is the suffix of a dictionary phrase, up
+    to its trigger, and the suffix of the parse that follows.  The sorted
+    phrase suffixes are the dictionary's suffix array; the sorted parse
+    suffixes that begin with a window's trigger are the parse's.  Two windows
+    compare as their places in the first, which is prefix-free, then in the
+    second.  alike: whether a window shares all its bytes with the one before.
+    """
+    raw, at = K.text_bytes(pa.array(pieces, pa.binary()))
+    t, owner = triggers(raw, at, K.prefix_sums(K.BYTE[0][raw], 0), length)
+    edge = np.searchsorted(owner, np.arange(len(pieces) + 1))
+    t -= at[owner]
+    starts = (np.diff(at) - length + 1).astype(np.int64)
+    firsts, heads, tails = [], [], []
+    for i, piece in enumerate(pieces):
+        cuts = t[edge[i] : edge[i + 1]].tolist()
+        firsts.append(cuts[0])
+        heads.append(piece[: cuts[0] + TRIGGER])
+        tails.append(phrases(piece[cuts[0] :], [c - cuts[0] for c in cuts]))
+    dictionary = {p: i for i, p in enumerate(sorted({p for tail in tails for p in tail}))}
+    parse_rank = ranked([tuple(dictionary[p] for p in tail) for tail in tails])
+    # the suffixes of a phrase that windows begin with; phrases that end alike share them
+    longest: dict[bytes, int] = {}
+    for head, n in zip(heads, starts.tolist(), strict=True):
+        longest[head] = max(longest.get(head, 0), n)
+    suffix = {s: i for i, s in enumerate(sorted({head[k:] for head, n in longest.items() for k in range(n)}))}
+    places = {head: np.array([suffix[head[k:]] for k in range(n)], np.int64) for head, n in longest.items()}
+    piece = np.repeat(np.arange(len(pieces)), starts)
+    start = np.arange(starts.sum()) - np.repeat(np.cumsum(starts) - starts, starts)
+    suffix_rank = np.concatenate([places[head][:n] for head, n in zip(heads, starts.tolist(), strict=True)])
+    order = np.lexsort((parse_rank[piece], suffix_rank))
+    piece, start, suffix_rank = piece[order], start[order], suffix_rank[order]
+    # the common prefix of neighbours: the same phrase suffix, and equal bytes as far as a window reaches
+    alike = np.zeros(len(order), bool)
+    near = np.flatnonzero(suffix_rank[1:] == suffix_rank[:-1]) + 1
+    views = np.lib.stride_tricks.sliding_window_view(raw, length)
+    absolute = at[piece] + start
+    for a in range(0, len(near), 1 << 14):
+        k = near[a : a + (1 << 14)]
+        alike[k] = (views[absolute[k]] == views[absolute[k - 1]]).all(1)
+    return piece, start, alike
+
+
+def _spans(batch: pa.RecordBatch, name: str, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, first and last window start in the batch) of the pairs in a column."""
     lists = batch.column(name)
     owner = np.repeat(np.arange(len(lists)), np.asarray(pa.compute.list_value_length(lists).fill_null(0)) // 2)
-    pair = np.asarray(lists.flatten(), np.int64).reshape(-1, 2)
+    return owner, np.asarray(lists.flatten(), np.int64).reshape(-1, 2) + at[owner, None]
+
+
+def _expand(batch: pa.RecordBatch, name: str, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, window start in the batch) of all windows in a column of pairs."""
+    owner, pair = _spans(batch, name, at)
     n = pair[:, 1] - pair[:, 0] + 1
-    doc = np.repeat(owner, n)
-    return doc, np.repeat(pair[:, 0] + at[owner], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(owner, n), np.repeat(pair[:, 0], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
 def rims(texts: DataFrame, n_buckets: int, length: int) -> DataFrame:
-    """texts with CHECK and BOTH spans: the starts of the repeated windows as k4 (HIT)."""
+    """texts with the spans of parse(): the starts of the repeated windows as k4 (HIT).
+
+    A span to be put in order travels as the string that its windows cover, to
+    the bucket of what follows its trigger, so that all equal windows are put in
+    order together.  Other spans travel as their windows' fingerprints.
+    """
+    reach = reaches(length)
 
     def send(raw, at, batch):
+        sums, other = K.prefix_sums(K.BYTE[0][raw], 0), K.prefix_sums(K.BYTE[1][raw], 1)
         (doc_a, a), (doc_b, b) = _expand(batch, f"k{CHECK}", at), _expand(batch, f"k{BOTH}", at)
         doc, start, known = np.concatenate([doc_a, doc_b]), np.concatenate([a, b]), np.repeat([False, True], [len(a), len(b)])
-        one = K.spans(K.prefix_sums(K.BYTE[0][raw], 0), start, start + length, 0)
-        two = K.spans(K.prefix_sums(K.BYTE[1][raw], 1), start, start + length, 1)
+        one, two = K.spans(sums, start, start + length, 0), K.spans(other, start, start + length, 1)
         order, new = X.groups(one, two)
         size = np.diff(np.append(new, len(order)))
         again = (size > 1) | (np.logical_or.reduceat(known[order], new) if len(new) else np.zeros(0, bool))
         hit = order[np.repeat(again, size) & ~known[order]]
         rep = order[new]
-        return X.Entries(one[rep], [two[rep], again.astype(np.uint8)], doc[rep], start[rep] - at[doc[rep]]), X.together([(doc[hit], HIT, (start[hit] - at[doc[hit]])[:, None])])
+        answers = X.together([(doc[hit], HIT, (start[hit] - at[doc[hit]])[:, None])])
+        (own_a, span_a), (own_b, span_b) = _spans(batch, f"k{ORDER}", at), _spans(batch, f"k{KNOWN}", at)
+        own, span, sure = np.concatenate([own_a, own_b]), np.concatenate([span_a, span_b]), np.repeat([0, 1], [len(own_a), len(own_b)])
+        t, _ = triggers(raw, at, sums, length)
+        trigger = t[np.searchsorted(t, span[:, 0])] if len(own) else span[:, 0]
+        band = (trigger - span[:, 0] > reach[0][1]).astype(np.int64)
+        right = np.zeros(len(own), K.U64)
+        for i, (_, hi) in enumerate(reach):
+            mine = band == i
+            right[mine] = _right(sums, trigger[mine], i, hi, length)
+        data = raw.tobytes()
+        pieces = [data[x:y] for x, y in zip(span[:, 0].tolist(), (span[:, 1] + length).tolist(), strict=True)]
+        cat = lambda x, y: np.concatenate([x, y])
+        flags = cat(again.astype(np.uint8), (PIECE | sure).astype(np.uint8))
+        entries = X.Entries(cat(one[rep], right), [cat(two[rep], np.zeros(len(own), K.U64)), flags], cat(doc[rep], own), cat(start[rep] - at[doc[rep]], span[:, 0] - at[own]), [b""] * len(rep) + pieces)
+        return entries, answers
 
     def decide(e, _):
-        two, flag = e.extra
-        order, new = X.groups(e.key, two)
+        whole = np.flatnonzero((e.extra[1] & PIECE) == 0)
+        two, flag = e.extra[0][whole], e.extra[1][whole]
+        order, new = X.groups(e.key[whole], two)
         size = np.diff(np.append(new, len(order)))
         again = (size > 1) | ((np.maximum.reduceat(flag[order], new) if len(new) else np.zeros(0)) > 0)
-        hit = order[np.repeat(again, size) & (flag[order] == 0)]
-        return X.together([(e.doc[hit], HIT, e.at[hit, None])])
-
-    return X.run(texts, [f"k{CHECK}", f"k{BOTH}"], n_buckets, send, decide, ("<u8", "u1"), (HIT,))
+        hit = whole[order[np.repeat(again, size) & (flag[order] == 0)]]
+        answers = [(e.doc[hit], HIT, e.at[hit, None])]
+        spans = np.flatnonzero(e.extra[1] & PIECE)
+        if len(spans):
+            piece, start, alike = corpus_order([e.pieces[i] for i in spans], length)
+            repeated = alike.copy()
+            repeated[:-1] |= alike[1:]
+            mine = spans[piece]
+            repeated &= (e.extra[1][mine] & 1) == 0
+            mine, start = mine[repeated], start[repeated]
+            answers.append((e.doc[mine], HIT, (e.at[mine] + start)[:, None]))
+        return X.together(answers)
+
+    return X.run(texts, [f"k{k}" for k in (CHECK, BOTH, ORDER, KNOWN)], n_buckets, send, decide, ("<u8", "u1"), (HIT,))
 
 
 def repeats(texts: DataFrame, n_buckets: int, length: int) -> tuple[DataFrame, DataFrame]:
-    """Repeated windows: (did, uid, k1, k3: pairs of first and last start) and (did, uid, k4: starts)."""
+    """Repeated windows: (did, uid, k1, k3, k6: pairs of first and last start) and (did, uid, k4: starts)."""
     parsed = materialise(parse(texts, n_buckets, length), "parse")
-    open_spans = parsed.where(F.size(f"k{CHECK}") + F.size(f"k{BOTH}") > 0).select("did", "uid", f"k{CHECK}", f"k{BOTH}")
+    kinds = [f"k{k}" for k in (CHECK, BOTH, ORDER, KNOWN)]
+    open_spans = parsed.where(sum((F.size(k) for k in kinds), F.lit(0)) > 0).select("did", "uid", *kinds)
     hits = materialise(rims(texts.join(open_spans.hint("shuffle_hash"), ["did", "uid"]), n_buckets, length), "rims")
-    return parsed.select("did", "uid", f"k{SURE}", f"k{BOTH}"), hits
+    return parsed.select("did", "uid", *(f"k{k}" for k in (SURE, BOTH, KNOWN))), hits
 
 
 def _dead(batch: pa.RecordBatch, at: np.ndarray, length: int) -> np.ndarray:
     """Which bytes lie in a repeated window."""
     first, last = [], []
-    for name in (f"k{SURE}", f"k{BOTH}", f"k{HIT}"):
+    for name in (f"k{SURE}", f"k{BOTH}", f"k{KNOWN}", f"k{HIT}"):
         lists, width = batch.column(name), 1 if name == f"k{HIT}" else 2
         owner = np.repeat(np.arange(len(lists)), np.asarray(pa.compute.list_value_length(lists).fill_null(0)) // width)
         spans = np.asarray(lists.flatten(), np.int64).reshape(-1, width) + at[owner, None]
