@@ -90,3 +90,29 @@ def test_repeated_rows_teach_once(spark):
     ratings = docs.select("doc_id", (F.col("doc_id") % 3).cast("int").alias("grade"))
     once, twice = grades.learn(docs, ratings), grades.learn(docs.unionByName(docs), ratings.unionByName(ratings))
     assert np.array_equal(once.weights, twice.weights) and np.array_equal(once.thresholds, twice.thresholds)
+
+
+def test_very_long_texts_are_taken_whole(spark):
+    import random
+
+    from weftlink.llm import passages
+
+    rng = random.Random(3)
+    words = [f"w{rng.randint(0, 400)}" for _ in range(120_000)]
+    long = " ".join(words)
+    docs = spark.createDataFrame([(1, long, "a"), (2, long + " tail", "a"), (3, " ".join(words[-60_000:-59_950]), "b")], "doc_id long, text string, source string")
+    near = {r["doc_id"]: r for r in nearcopies.near_copies(docs).collect()}
+    assert near[2]["component_id"] == 1 and near[3]["component_id"] == 3
+    cut = {r["doc_id"]: r for r in passages.dedup(docs).collect()}
+    assert cut[2]["n_words"] == 120_001 and cut[2]["n_removed"] == 120_000 and cut[3]["n_removed"] == 50
+    labels = spark.createDataFrame([(1, "high"), (3, "low")], "doc_id long, domain string")
+    mixed = {r["doc_id"]: r["n_tokens"] for r in mixing.mix(docs, labels, TARGETS).collect()}
+    assert mixed[2] == mixed[1] + 1
+
+
+def test_native_operators_hold_no_python(spark):
+    docs = spark.createDataFrame([(i, TEXT * 2, f"h{i % 3}") for i in range(20)], "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(0, "high"), (1, "low")], "doc_id long, domain string")
+    for df in (host_rules.host_rules(docs), host_rules.keep_good(docs), mixing.mix(docs, labels, TARGETS), mixing.draw(docs, labels, TARGETS)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not any(word in plan for word in ("Python", "Arrow", "Pandas", "ExternalRDD"))

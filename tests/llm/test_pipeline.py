@@ -68,3 +68,21 @@ def test_written_tables_lie_in_the_named_folder(spark):
     folder = spark.conf.get("spark.checkpoint.dir")
     assert all(folder in f for f in df.inputFiles())
     common.forget(df)
+
+
+def test_stages_take_nulls_repeats_and_any_columns(spark):
+    good = "".join(f"word{i} " for i in range(30))
+    data = [(1, good, "en", "a", 0), (1, good, "en", "a", 0), (None, good + "more", None, None, None), (2, None, "en", "a", None), (3, "", None, "b", 0), (4, "other " + good[::-1], "en", None, 7)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    extra = ["did", "uid", "key", "copies", "failed", "counts", "raw_text", "host_key", "__id"]
+    from pyspark.sql import functions as F
+
+    docs = docs.select("*", *(F.lit(c).alias(c) for c in extra))
+    for _, stage in P.STAGES[:-1]:
+        docs = common.materialise(stage(spark, docs, SF), "edge")
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *extra]
+        assert all(r[c] == c for r in docs.collect() for c in extra)
+    ids = {r["doc_id"] for r in docs.collect()}
+    assert ids <= {1, 4, None} and 4 in ids
+    out = P.tokens(spark, docs, SF)
+    assert out.columns[0] == "doc_id" and out.count() == docs.count()

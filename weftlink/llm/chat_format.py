@@ -188,6 +188,11 @@ def read_chats(formatted: DataFrame, template: Template | None = None, ordered:
 
     ordered: the parts of a conversation already follow each other in one
     partition, as they do straight after format_chats().
+
+    Rows with a null conv_id are one conversation.  Parts are streamed, so a
+    conversation of any length needs the memory of one part.  Repeated rows are
+    repeated parts.  A null text is an error, as the formatter writes none.  An
+    empty table gives an empty result; other columns are ignored.
     """
     template = template or Template()
     schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("n_escaped", pa.int64()), ("n_parts", pa.int64())])

@@ -4,8 +4,14 @@ Every document's words are cut into non-overlapping blocks of half a window;
 the blocks' fingerprints are the index.  Every rolling window of a block's
 length in every document probes it.  A repeated window of full length holds a
 whole block of each of its occurrences, so the hits, extended by half a window
-on either side, contain all maximal exact repeats.  The full windows there are
-compared by 128-bit fingerprints: all but the first occurrence are removed.
+on either side, contain all maximal exact repeats.
+
+Which of several occurrences is the first can differ from window to window of
+one repeat, and a hit can have any number of partners.  So a hit isn't extended
+against one partner after the other: the full windows around it are compared
+with all others at once by 100-bit fingerprints or more (40 bits of a hash
+besides the bucket it chose, and 64 of a second), and all but the first
+occurrence are removed.  The runs of windows that go are the maximal repeats.
 """
 
 from __future__ import annotations

@@ -2,14 +2,18 @@
 
 Three machines are compiled from a model file:
 
-* the normaliser writes the dummy prefix and the space symbol;
-* the piece transducer is a trie whose paths spell pieces and whose finals
-  carry their weights, with byte fallback (or the unknown piece) for characters
-  that no piece begins with;
-* the neighbour acceptor holds for models of kind BPE: it gives weight 0 to two
-  pieces that merging would leave side by side and infinity to others, so that
-  the one finite path is what merging by rank gives.  Unigram models need none:
-  their weights are negative log-probabilities.
+* the normaliser: a trie whose paths spell what the model's character map
+  rewrites, with the rewritten text as output, and states for spaces (at the
+  start, behind a space, behind text) that drop surplus ones, add the dummy
+  prefix and write the space symbol;
+* the piece transducer: a trie whose paths spell pieces and whose finals carry
+  their weights, with byte fallback (or the unknown piece) for characters that
+  no piece begins with;
+* the neighbour acceptor, for models of kind BPE: it gives weight 0 to two
+  pieces that merging would leave side by side and infinity to others.  The
+  scores of such a model are merge ranks, whose sum means nothing; with the
+  acceptor the one finite path is what merging by rank gives.  Unigram models
+  need none: their weights are negative log-probabilities.
 
 An input is composed with them position by position, and the shortest path in
 the tropical semiring (minimum, plus) is its encoding.  Where no piece spans
@@ -38,6 +42,105 @@ FINAL = ""
 _KEEP = 200_000  # words, and neighbour pairs, that a worker remembers
 
 
+def trie(words: dict) -> tuple:
+    """A state is (the word's value that ends in it, or None; its arcs by character)."""
+    build: dict = {}
+    for word, value in words.items():
+        node = build
+        for c in word:
+            node = node.setdefault(c, {})
+        node[FINAL] = value
+
+    def state(node: dict) -> tuple:
+        return node.get(FINAL), {c: state(x) for c, x in node.items() if c != FINAL}
+
+    return state(build)
+
+
+def character_map(blob: bytes) -> dict[str, str]:
+    """What a model's compiled character map rewrites: a double array of byte arcs, and the texts that its leaves point at.
+
+    A unit holds its label in the low byte, whether a leaf hangs on it in bit 8,
+    and the offset of its children above; all nodes of one depth are read at once.
+    """
+    if not blob:
+        return {}
+    size = int(np.frombuffer(blob, "<u4", 1)[0])
+    units, texts = np.frombuffer(blob, "<u4", size // 4, 4).astype(np.int64), blob[4 + size :]
+
+    def children(unit):
+        return (unit >> 10) << ((unit & (1 << 9)) >> 6)
+
+    labels = np.arange(1, 256)
+    base, keys, found = children(units[:1]), [b""], {}
+    while len(base):
+        at = base[:, None] ^ labels
+        at = np.where(at < len(units), at, 0)
+        row, column = np.nonzero((units[at] & 0x800000FF) == labels)
+        node = at[row, column]
+        keys = [keys[r] + bytes([c + 1]) for r, c in zip(row.tolist(), column.tolist(), strict=True)]
+        below = (node ^ children(units[node])) if len(node) else node
+        for i in np.flatnonzero((units[node] >> 8) & 1).tolist():
+            start = int(units[below[i]] & 0x7FFFFFFF)
+            found[keys[i].decode()] = texts[start : texts.index(b"\0", start)].decode()
+        base = below
+    return found
+
+
+class Normaliser:
+    """The normaliser of a model as a machine: longest rewritten match first, then states for spaces."""
+
+    def __init__(self, spec, symbols: list[str] = (), suffix: bool = False):
+        rewritten = character_map(spec.precompiled_charsmap)
+        self.symbols = trie({x: x for x in symbols})
+        self.arcs = trie(rewritten)
+        self.prefix, self.squeeze, self.suffix = spec.add_dummy_prefix, spec.remove_extra_whitespaces, suffix
+        self.space = SPACE if spec.escape_whitespaces else " "
+        begins = {x[0] for x in (*rewritten, *symbols) if x}
+        # characters that begin no arc stay as they are, so stretches of them are copied whole
+        self.stop = re.compile(f"[{re.escape(''.join(sorted(begins | {' '})))}]") if begins or self.squeeze else None
+
+    def _longest(self, start: tuple, text: str, at: int) -> tuple[int, str | None]:
+        end, out, arcs, k = at, None, start[1], at
+        while k < len(text) and (state := arcs.get(text[k])) is not None:
+            k += 1
+            if state[0] is not None:
+                end, out = k, state[0]
+            arcs = state[1]
+        return end, out
+
+    def compose(self, text: str) -> str:
+        """The output of the machine's one path for a text."""
+        if self.stop is None:
+            out = text
+        else:
+            parts, at, behind_space = [], 0, self.squeeze
+            while at < len(text):
+                found = self.stop.search(text, at)
+                end = found.start() if found else len(text)
+                if end > at:
+                    parts.append(text[at:end])
+                    at, behind_space = end, False
+                    continue
+                end, out = self._longest(self.symbols, text, at)
+                if out is None:
+                    end, out = self._longest(self.arcs, text, at)
+                if out is None:
+                    end, out = at + 1, text[at]
+                if behind_space:
+                    out = out.lstrip(" ")
+                if out:
+                    parts.append(out)
+                    behind_space = self.squeeze and out.endswith(" ")
+                at = end
+            out = "".join(parts)
+            if self.squeeze:
+                out = out.rstrip(" " + self.space)
+        if self.prefix and out:
+            out = out + " " if self.suffix else " " + out
+        return out.replace(" ", self.space)
+
+
 class Transducer:
     """The compiled machines of one model file."""
 
@@ -46,14 +149,12 @@ class Transducer:
 
         proto = pb.ModelProto()
         proto.ParseFromString(model)
-        norm = proto.normalizer_spec
-        if norm.precompiled_charsmap:
-            raise ValueError("only models with the identity normaliser can be compiled")
         if proto.trainer_spec.model_type not in (1, 2):
             raise ValueError("only unigram and BPE models can be compiled")
-        self.prefix, self.squeeze, self.mark = norm.add_dummy_prefix, norm.remove_extra_whitespaces, norm.escape_whitespaces
         self.bpe = proto.trainer_spec.model_type == 2
         kinds = {"normal": 1, "unknown": 2, "user": 4, "unused": 5, "byte": 6}
+        symbols = [p.piece for p in proto.pieces if p.type == kinds["user"]]
+        self.normaliser = Normaliser(proto.normalizer_spec, symbols, proto.trainer_spec.treat_whitespace_as_suffix)
         self.text = [p.piece for p in proto.pieces]
         self.byte = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == kinds["byte"]}
         self.unknown = next(i for i, p in enumerate(proto.pieces) if p.type == kinds["unknown"])
@@ -67,19 +168,7 @@ class Transducer:
         self.rank = {s: proto.pieces[i].score for s, i in spelled.items()}
         self.id = {s: i for s, i in spelled.items() if self.bpe or proto.pieces[i].type != kinds["unused"]}
         self.no_piece = -(min(scores, default=0.0) - 10)
-        # the trie: a state is the piece that ends in it, or None, and its arcs by character
-        self.trie: tuple = (None, {})
-        build: dict = {}
-        for s, i in self.id.items():
-            node = build
-            for c in s:
-                node = node.setdefault(c, {})
-            node[FINAL] = i
-
-        def state(node: dict) -> tuple:
-            return node.get(FINAL), {c: state(x) for c, x in node.items() if c != FINAL}
-
-        self.trie = state(build)
+        self.trie = trie(self.id)
         self.longest = max(map(len, self.id), default=0)
         # a boundary between two characters that no piece spans is on every path
         self.spanned = {s[k : k + 2] for s in self.id for k in range(len(s) - 1)}
@@ -114,13 +203,6 @@ class Transducer:
         main = max(sizes.values(), key=lambda x: (len(x), x), default=[])
         return "".join(sorted(main)), "".join(sorted(set(parent) - set(main)))
 
-    def normalise(self, text: str) -> str:
-        if self.squeeze:
-            text = re.sub(" +", " ", text.strip(" "))
-        if self.prefix and text:
-            text = " " + text
-        return text.replace(" ", SPACE) if self.mark else text
-
     def merged(self, s: str) -> list[str]:
         """Merge the best-ranked neighbours of a short string until none is left; the leftmost first among equals."""
         parts = list(s)
@@ -175,9 +257,10 @@ class Transducer:
     def _beside_path(self, s: str, n: int) -> tuple[list[int], list[int]]:
         """The same for a BPE model, whose weights are 0 and infinity.
 
-        A position has one state of finite weight, its last piece.  The search
-        goes along the longest arc first and remembers positions that lead
-        nowhere, so it looks at few positions besides those on the path.
+        All finite paths weigh 0, so the first one found is a shortest one; there
+        is no other, as merging has one result.  The search goes along the
+        longest arc first and remembers positions that lead nowhere, so it looks
+        at few positions besides those on the path.
         """
         first, pairs, longest = self.trie[1], self._pairs, self.longest
         starts, pieces, ways, dead = [], [], [], set()
@@ -238,7 +321,7 @@ class Transducer:
         self._pairs.clear()
 
     def encode(self, text: str) -> list[int]:
-        s = self.normalise(text)
+        s = self.normaliser.compose(text)
         if not self.by_word:
             return self.shortest(s)
         words = self.word.findall(s)
@@ -249,7 +332,10 @@ class Transducer:
 
     def decode(self, ids) -> str:
         out = b"".join(map(self.written.__getitem__, ids)).decode("utf-8", "replace")
-        return out[1:] if self.prefix and out[:1] == " " else out
+        n = self.normaliser
+        if n.prefix and n.suffix:
+            return out.removesuffix(" ")
+        return out.removeprefix(" ") if n.prefix else out
 
 
 _compiled: dict[str, Transducer] = {}
@@ -272,7 +358,8 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "
 
     A null or empty text has no ids.  Texts are read whole, however long.
     check_col names a column that says whether decoding gives the text back;
-    a text that itself holds the space symbol comes back with a space.  Each
+    a text that itself holds the space symbol comes back with a space, and one
+    that the model's normaliser rewrites doesn't come back.  Each
     row gives one row, so repeated rows stay repeated; ids_col and check_col
     replace columns of the same name, and others may have any name.  An empty
     table gives an empty one.

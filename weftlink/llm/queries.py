@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +23,8 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_chats(chat_format.format_chats(convs.unionByName(extra)), ordered=True)
 
 
-#: A public model file of the installed tokenizers; any other SentencePiece model can be named.
-PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+#: A public model file of the installed tokenizers; any other SentencePiece model can be named by WEFTLINK_PIECES.
+PIECES = os.environ.get("WEFTLINK_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str, model: str = PIECES) -> DataFrame:

@@ -339,7 +339,11 @@ def dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col:
 
 
 def dedup_rows(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with all columns, their texts without long repeats."""
+    """docs with all columns, whatever their names, their texts without long repeats.
+
+    A null text becomes an empty one; repeated rows stay repeated and lose what
+    is long enough, null ids stay null, and an empty table gives an empty one.
+    """
     cut = dedup(docs, length, id_col, text_col, keep=docs.columns)
     places = {c: i for i, c in enumerate(docs.columns)}
     fixed = 6
