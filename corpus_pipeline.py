@@ -2,7 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written
 as Parquet and read again as the next stage's docs.  All but the last give the
-columns of documents.
+columns of documents, and further ones that docs may have, whatever their names.
+
+In every stage an empty table gives an empty one, and texts are taken whole.
+Null ids are one id that comes last; a null source is no host.
 """
 
 from __future__ import annotations
@@ -16,17 +19,24 @@ from weftlink.llm.queries import PIECES, TARGETS, domains
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the rules and their host's verdict keep."""
+    """The documents that the rules and their host's verdict keep; null and empty texts go, repeated rows stay repeated."""
     return host_rules.keep_good(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: shingles of five words, similarity 0.8."""
+    """One document of each group of near copies: shingles of five words, similarity 0.8.
+
+    It is the one of the smallest id; of repeated rows one stays, and texts
+    without words all stay but for repeated rows.
+    """
     return nearcopies.dedup_rows(docs, width=5, percent=80)
 
 
 def long_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the strings of 200 bytes that occur elsewhere too: a passage of fifty words is longer."""
+    """All documents, without the strings of 200 bytes that occur elsewhere too: a passage of fifty words is longer.
+
+    A null text becomes an empty one, and n_chars follows the text.
+    """
     return suffixes.dedup_rows(docs, length=200).withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
 
@@ -34,14 +44,15 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their rates say.
 
     The total is set so that the domain of good documents keeps a tenth more
-    tokens than it has: its documents stay, and some come twice.
+    tokens than it has: its documents stay, and some come twice.  Rows with
+    the same id and text have one rate; a null text has no tokens.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return mixing.draw(docs, domains(labels), TARGETS, anchor="high")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, token_ids, n_tokens, round_trip."""
+    """doc_id, token_ids, n_tokens, round_trip for each row; a null or empty text has no ids."""
     encoded = pieces.encode(docs, PIECES, check_col="round_trip", keep=["doc_id"])
     return encoded.withColumn("n_tokens", F.size("token_ids").cast("long"))
 
