@@ -103,5 +103,6 @@ def test_a_short_row_does_not_hide_the_others(rows):
 
 
 def test_footrule():
-    a, b = np.array([[0, 1, 2]], np.int16), np.array([[2, 0], [1, 1], [0, 2]], np.int16)
-    assert N.footrule(a, b).tolist() == [[4, 0]]
+    query, ranks = np.array([0, 2, 1], np.int16), np.array([[2, 0], [0, 2], [1, 1]], np.int16)
+    assert N.footrule(query, ranks, 3).tolist() == [4, 0]
+    assert N.footrule(query, ranks, 1).tolist() == [2, 0]  # the nearest pivot alone

@@ -60,20 +60,22 @@ def choose_pivots(vectors: DataFrame, most: int) -> np.ndarray:
     return out / np.linalg.norm(out, axis=1, keepdims=True)
 
 
-def footrule(queries: np.ndarray, ranks_t: np.ndarray) -> np.ndarray:
-    """Distances between each query's ranks and each column of ranks_t (pivot by vector)."""
-    out = np.zeros((len(queries), ranks_t.shape[1]), np.int32)
-    part = np.empty(out.shape, np.int16)
-    for p in range(len(ranks_t)):
-        np.subtract(queries[:, p, None], ranks_t[p][None], out=part)
-        np.abs(part, out=part)
-        out += part
-    return out
+def footrule(query: np.ndarray, ranks_t: np.ndarray, depth: int) -> np.ndarray:
+    """Distances between a query's order and each column of ranks_t (pivot by vector).
+
+    They are sums of rank differences over the query's ``depth`` nearest
+    pivots, whose order says most about what is near it.
+    """
+    near = np.argsort(query, kind="stable")[:depth]
+    gap = ranks_t[near]
+    gap -= query[near, None]
+    return np.abs(gap, out=gap).sum(0, dtype=np.int32)
 
 
-def search(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, n_pivots: int = 128, post: int = 4, probe: float = 0.4, rerank: float = 0.12, chunk: int = 4096, n_queries: int = 1024) -> DataFrame:
+def search(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, n_pivots: int = 256, depth: int = 32, post: int = 4, probe: float = 0.25, rerank: float = 0.16, chunk: int = 4096, n_queries: int = 1024) -> DataFrame:
     """The k rows of largest inner product found for each query row.
 
+    depth: how many of its nearest pivots a query's order is compared by;
     post: files that a vector is posted in; probe: share of the files that a
     query opens, 48 at least; rerank: share of the ids of a file's piece that
     are reranked, 128 ids at least.  With up to 48 different vectors everything is opened.
@@ -89,13 +91,13 @@ def search(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col
     sizes = sorted(r[0] for r in vectors.where("asks").select(F.size("vector")).distinct().toLocalIterator())
     if not sizes:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    found = reduce(DataFrame.unionByName, [candidates(vectors.where(F.size("vector") == size), k, n_pivots, post, probe, rerank, chunk, n_queries) for size in sizes])
+    found = reduce(DataFrame.unionByName, [candidates(vectors.where(F.size("vector") == size), k, n_pivots, depth, post, probe, rerank, chunk, n_queries) for size in sizes])
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def candidates(vectors: DataFrame, k: int, n_pivots: int, post: int, probe: float, rerank: float, chunk: int, n_queries: int) -> DataFrame:
+def candidates(vectors: DataFrame, k: int, n_pivots: int, depth: int, post: int, probe: float, rerank: float, chunk: int, n_queries: int) -> DataFrame:
     """query_id, vec_id, score of the best k ids in each piece that a query meets; all vectors have one length."""
     pivots = choose_pivots(vectors, n_pivots)
     n = len(pivots)
@@ -135,20 +137,20 @@ def candidates(vectors: DataFrame, k: int, n_pivots: int, post: int, probe: floa
             q_ids, q = np.asarray(asks.column("id").combine_chunks()), matrix(asks.column("vector"))
             r_v, r_q = np.ascontiguousarray(ranks(v, pivots).T), ranks(q, pivots)
             few = min(n_ids, max(128, math.ceil(rerank * n_ids)) + 1)
-            for first in range(0, len(q), 32):
-                for i, distance in enumerate(footrule(r_q[first : first + 32], r_v), first):
-                    near = np.arange(len(ids))
-                    if few < n_ids:
-                        chosen = np.zeros(n_ids, bool)
-                        chosen[np.argpartition(np.minimum.reduceat(distance, starts), few - 1)[:few]] = True
-                        near = np.flatnonzero(chosen[nth_id])
-                    near = near[ids[near] != q_ids[i]]
-                    score = (v[near] * q[i]).sum(1)
-                    best = np.lexsort((ids[near], -score))
-                    best = best[np.sort(np.unique(ids[near][best], return_index=True)[1])][:k]
-                    out[0].append(np.full(len(best), q_ids[i]))
-                    out[1].append(ids[near][best])
-                    out[2].append(score[best])
+            for i in range(len(q)):
+                near = np.arange(len(ids))
+                if few < n_ids:
+                    distance = np.minimum.reduceat(footrule(r_q[i], r_v, depth), starts)
+                    chosen = np.zeros(n_ids, bool)
+                    chosen[np.argpartition(distance, few - 1)[:few]] = True
+                    near = np.flatnonzero(chosen[nth_id])
+                near = near[ids[near] != q_ids[i]]
+                score = (v[near] * q[i]).sum(1)
+                best = np.lexsort((ids[near], -score))
+                best = best[np.sort(np.unique(ids[near][best], return_index=True)[1])][:k]
+                out[0].append(np.full(len(best), q_ids[i]))
+                out[1].append(ids[near][best])
+                out[2].append(score[best])
         joined = [np.concatenate(x) if x else np.zeros(0) for x in out]
         return pa.table({"query_id": pa.array(joined[0].astype(np.int64)), "vec_id": pa.array(joined[1].astype(np.int64)), "score": pa.array(joined[2].astype(float))})
 
