@@ -96,12 +96,13 @@ def posteriors(docs: DataFrame, fit: Fit) -> DataFrame:
     return scored.select("doc_id", "text_hash", "n_tokens", "n_rows", p.alias("p"))
 
 
-def fit_rates(soft: DataFrame, targets: list[float], total: float | None = None, anchor: int | None = None, iterations: int = 60, close: float = 1e-5) -> Column:
-    """The rate of each row of posteriors() as an expression over p.
+def fit_rates(soft: DataFrame, targets: list[float], total: float | None = None, anchor: int | None = None, iterations: int = 60, close: float = 1e-5, written: int = 8) -> tuple[DataFrame, Column]:
+    """The rows of posteriors() and the rate of each as an expression over them.
 
     targets: the domains' weights.  total: tokens to reach, by default those
     there are.  anchor: instead, the total at which this domain keeps 1.1 times
-    its tokens.
+    its tokens.  After ``written`` iterations the rates so far are written
+    beside the rows, so that the expression stays short.
     """
     k = range(len(targets))
     weight = np.array(targets, float) / sum(targets)
@@ -122,18 +123,20 @@ def fit_rates(soft: DataFrame, targets: list[float], total: float | None = None,
     gram = soft.agg(*(F.sum(tokens * F.col("p")[i] * F.col("p")[j]).alias(f"g{i}_{j}") for i in k for j in k)).first()
     h = np.array([x or 0.0 for x in gram]).reshape(len(k), len(k)) / np.sqrt(np.outer(scale, scale))
     step = 1.0 / max(float(np.linalg.eigvalsh((h + h.T) / 2)[-1]), 1e-12)
-    for _ in range(iterations):
+    for turn in range(1, iterations + 1):
         miss = (have - goal) / scale
         if np.abs(have - goal).max() <= close * max(total, 1.0):
             break
         push = sum((F.lit(float(step * m)) * F.col("p")[i] for i, m in enumerate(miss)), F.lit(0.0))
         rate = F.greatest(F.lit(0.0), rate - push)
+        if turn % written == 0:
+            soft, rate = materialise(soft.withColumn("rate_so_far", rate), "rates"), F.col("rate_so_far")
         now = sums(rate)
         if np.abs(now - have).max() <= close * max(total, 1.0):
             have = now
             break
         have = now
-    return rate
+    return soft, rate
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict, **limits) -> DataFrame:
@@ -149,7 +152,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict, **limits) -> DataFram
 def solve(docs: DataFrame, labels: DataFrame, targets: dict, anchor: str | None = None, **limits) -> tuple[DataFrame, Column]:
     domains = tuple(targets)
     soft = materialise(posteriors(docs, learn(docs, labels, domains, **limits)), "posteriors")
-    return soft, fit_rates(soft, list(targets.values()), anchor=None if anchor is None else domains.index(anchor))
+    return fit_rates(soft, list(targets.values()), anchor=None if anchor is None else domains.index(anchor))
 
 
 def draw(docs: DataFrame, labels: DataFrame, targets: dict, **limits) -> DataFrame:
