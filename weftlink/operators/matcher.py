@@ -13,7 +13,7 @@ def assembled(rows: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="__features", handleInvalid="keep").transform(rows)
 
 
-def fit(rows: DataFrame, features: list[str], label: str = "label", positive: float = 1.0, negative: float = 4.0, rounds: int = 400, rate: float = 0.04, depth: int = 5, least: int = 20, seed: int = 42, held: float = 0.15, gain: float = 0.005, group: str = "s1_id") -> GBTClassificationModel:
+def fit(rows: DataFrame, features: list[str], label: str = "label", positive: float = 1.0, negative: float = 4.0, rounds: int = 400, rate: float = 0.04, depth: int = 5, least: int = 20, seed: int = 42, held: float = 0.15, gain: float = 0.02, group: str = "s1_id") -> GBTClassificationModel:
     """Boosted trees; negatives weigh more, so precision counts more.
 
     Boosting stops as soon as a round lowers the loss on held-out groups, a
@@ -25,7 +25,7 @@ def fit(rows: DataFrame, features: list[str], label: str = "label", positive: fl
         data = data.withColumn("__held", F.pmod(F.xxhash64(F.lit(seed), group), F.lit(10_000)) < int(held * 10_000))
         kinds = data.agg(F.count_if("__held").alias("held"), F.count_if(~F.col("__held")).alias("rest")).first()
         if kinds["held"] and kinds["rest"]:
-            trees = trees.setValidationIndicatorCol("__held").setValidationTol(gain)
+            trees = trees.copy({trees.validationIndicatorCol: "__held", trees.validationTol: gain})
     return trees.fit(data)
 
 

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from ..functions import text as T
-from ..operators import calibration, features, metrics, profiling, quality, shift
+from ..operators import calibration, features, graph, metrics, profiling, quality, shift
 from ..sources import tables
 from . import biz
-from .catalogue import _FENCE, _NUM, _PAIRS, _RANKED, _SETS, _entities, _hydrated, _numbers, _pairs, _resolved, _scored, _sets, query, r6
+from .catalogue import _CLUSTERS, _FENCE, _NUM, _PAIRS, _RANKED, _SETS, _entities, _hydrated, _numbers, _pairs, _resolved, _scored, _sets, query, r6
 from .lists import joined
 from .shared import folder
 
@@ -166,6 +166,24 @@ def pair_monge_elkan(spark, d):
     return _hydrated(spark, d).select("s1_id", "cand_id", r6(S.monge_elkan(F.col("a_name_clean"), F.col("b_name_clean")), "similarity"))
 
 
+_APART = "(aa = ba AND aa <> '' AND CASE WHEN greatest(length(a), length(b)) = 0 THEN 1.0 ELSE 1.0 - levenshtein(replace(a, 'ß', '@'), replace(b, 'ß', '@')) / greatest(length(a), length(b))::DOUBLE END < 0.7)"
+_ADDRESS_CLUSTERS = _CLUSTERS.replace("marked AS (SELECT s1_id AS u, cand_id AS v, prob, prob <= 0.3 AND NOT 1 - prob <= 0.5 AS apart FROM scored)", f"""texts AS (SELECT s.*, x.name_clean AS a, y.name_clean AS b, x.addr_clean AS aa, y.addr_clean AS ba FROM scored s JOIN canon x ON x.entity_id = s1_id JOIN canon y ON y.entity_id = cand_id),
+  marked AS (SELECT s1_id AS u, cand_id AS v, prob, (prob <= 0.3 AND NOT 1 - prob <= 0.5) OR {_APART} AS apart FROM texts)""").replace("prob >= 0.82", "prob >= 0.6")
+
+
+@query(f"WITH RECURSIVE {_ADDRESS_CLUSTERS} SELECT cluster_id, members FROM clusters")
+def address_clusters(spark, d):
+    """Clusters in which records of one address with unlike names stay apart, whatever their score."""
+    pairs, records = _pairs(spark, d)
+    a, b, x, y = (F.col(c) for c in ("a_name_clean", "b_name_clean", "a_addr_clean", "b_addr_clean"))
+    both = features.hydrated(pairs, records, ("name_clean", "addr_clean")).withColumn("prob", S.token_jaccard(a, b))
+    unlike = (x == y) & (x != "") & (S.levenshtein_ratio(a, b) < 0.7)
+    labels = F.when(unlike, F.array(F.lit(0))).otherwise(calibration.prediction_set(F.col("prob"), 0.3, 0.5))
+    edges = both.select(F.col("s1_id").alias("u"), F.col("cand_id").alias("v"), "prob", labels.alias("labels"))
+    found = graph.constrained_clusters(biz.records(spark, d).select("entity_id"), edges, threshold=0.6)
+    return found.select("cluster_id", joined(F.col("members")).alias("members"))
+
+
 # -- folds and samples -------------------------------------------------------------------
 
 
