@@ -116,3 +116,15 @@ def test_native_operators_hold_no_python(spark):
     for df in (host_rules.host_rules(docs), host_rules.keep_good(docs), mixing.mix(docs, labels, TARGETS), mixing.draw(docs, labels, TARGETS)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not any(word in plan for word in ("Python", "Arrow", "Pandas", "ExternalRDD"))
+
+
+def test_bucket_size_follows_the_session(spark):
+    from weftlink.llm import exchange
+
+    docs = spark.range(100).repartition(40)
+    few = exchange.buckets_for(docs)
+    spark.conf.set("weftlink.bucketBytes", "4mb")
+    try:
+        assert exchange.buckets_for(docs) == 4 * few
+    finally:
+        spark.conf.unset("weftlink.bucketBytes")

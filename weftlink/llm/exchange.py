@@ -42,15 +42,24 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def buckets_for(docs: DataFrame) -> int:
-    """Buckets of a bounded size: their number follows the bytes that the scan reads."""
+    """Buckets of a bounded size: their number follows the bytes that the scan reads.
+
+    A bucket stands for ``weftlink.bucketBytes`` of input, 16 MB if the session
+    doesn't say otherwise.  Larger executors take larger buckets, and fewer of
+    them keep more entries together in a row.
+    """
     spark = docs.sparkSession
-    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    units = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
-    size = size.lower().removesuffix("b") or "0"
-    per = max(1, round((float(size[:-1]) * units[size[-1]] if size[-1] in units else float(size)) / (16 << 20)))
+    size = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    per = max(1, round(size / _bytes(spark.conf.get("weftlink.bucketBytes", "16m"))))
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), per * docs.rdd.getNumPartitions())
 
 
+def _bytes(setting: str) -> float:
+    units = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    number = setting.lower().removesuffix("b") or "0"
+    return float(number[:-1]) * units[number[-1]] if number[-1] in units else float(number)
+
+
 @dataclass
 class Entries:
     """Fingerprints of one batch or bucket.
