@@ -183,3 +183,15 @@ def test_damerau_and_monge_elkan_over_all_pairs(spark):
 def test_weight_summary_of_nothing(spark):
     out = shift.weight_summary(spark.createDataFrame([], "weight double")).first()
     assert out["n"] == 0 and out["min"] is None
+
+
+def test_streamed_windows_equal_those_of_the_table(spark, tmp_path):
+    from weftlink.streaming.resolve import windowed_counts
+
+    events = spark.read.parquet(f"{SF}/events.parquet").orderBy("ts")
+    events.repartition(4).write.parquet(str(tmp_path / "events"))
+    stream = windowed_counts(spark.readStream.schema(events.schema).parquet(str(tmp_path / "events")))
+    run = stream.writeStream.format("memory").queryName("streamed_windows").outputMode("complete").trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    rows = lambda df: sorted((r["start"], r["event_type"], r["n"], round(r["total"], 6)) for r in df.collect())
+    assert rows(spark.table("streamed_windows")) == rows(windowed_counts(events)) != []

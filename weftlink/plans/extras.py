@@ -8,6 +8,7 @@ from ..functions import similarity as S
 from ..functions import text as T
 from ..operators import calibration, features, graph, metrics, profiling, quality, shift
 from ..sources import tables
+from ..streaming.resolve import windowed_counts
 from . import biz
 from .catalogue import _CLUSTERS, _FENCE, _NUM, _PAIRS, _RANKED, _SETS, _entities, _hydrated, _numbers, _pairs, _resolved, _scored, _sets, query, r6
 from .lists import joined
@@ -61,6 +62,13 @@ def list_items(spark, d):
     return _resolved(spark, d).select("s1_id", F.explode(T.list_items(text)).alias("id"))
 
 
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:00') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def event_windows(spark, d):
+    """The batch form of the windowed counts that run on a stream."""
+    out = windowed_counts(biz.table(spark, d, "events"))
+    return out.select(F.date_format("start", "yyyy-MM-dd HH:00").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
 # -- slices, weights, plot data ----------------------------------------------------------
 
 
