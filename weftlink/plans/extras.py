@@ -10,7 +10,7 @@ from ..operators import calibration, features, graph, metrics, profiling, qualit
 from ..sources import tables
 from ..streaming.resolve import windowed_counts
 from . import biz
-from .catalogue import _CLUSTERS, _FENCE, _NUM, _PAIRS, _RANKED, _SETS, _entities, _hydrated, _numbers, _pairs, _resolved, _scored, _sets, query, r6
+from .catalogue import _CLUSTERS, _FENCE, _NUM, _PAIRS, _RANKED, _SETS, _entities, _hydrated, _jaro_winkler, _numbers, _pairs, _resolved, _scored, _sets, _taken, query, r6
 from .lists import joined
 from .shared import folder
 
@@ -169,7 +169,13 @@ def pair_token_set(spark, d):
     return _hydrated(spark, d).select("s1_id", "cand_id", r6(S.token_set_ratio(F.col("a_name_clean"), F.col("b_name_clean")), "ratio"))
 
 
-@query()
+_WORD_PAIRS = f"""{_PAIRS}, w AS (SELECT s1_id, cand_id, {_WORDS.format('a')} AS x, {_WORDS.format('b')} AS y FROM pairs),
+ l AS (SELECT s1_id, cand_id, y, unnest(x) AS p, generate_subscripts(x, 1) AS i FROM w), m AS (SELECT s1_id, cand_id, i, p, unnest(y) AS q FROM l),
+ u AS (SELECT DISTINCT p AS a, q AS b FROM m), t AS (SELECT a, b, {_taken('a', 'b')} AS taken FROM u), j AS (SELECT a, b, {_jaro_winkler('a', 'b', 'taken')} AS jw FROM t),
+ best AS (SELECT s1_id, cand_id, i, max(jw) AS jw FROM m JOIN j ON p = a AND q = b GROUP BY ALL), mean AS (SELECT s1_id, cand_id, avg(jw) AS jw FROM best GROUP BY ALL)"""
+
+
+@query(f"WITH {_WORD_PAIRS} SELECT s1_id, cand_id, round(coalesce(jw, (len(x) = 0 AND len(y) = 0)::INT::DOUBLE), 6) AS similarity FROM w LEFT JOIN mean USING (s1_id, cand_id)")
 def pair_monge_elkan(spark, d):
     return _hydrated(spark, d).select("s1_id", "cand_id", r6(S.monge_elkan(F.col("a_name_clean"), F.col("b_name_clean")), "similarity"))
 
