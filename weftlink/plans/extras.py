@@ -175,9 +175,9 @@ _WORD_PAIRS = f"""{_PAIRS}, w AS (SELECT s1_id, cand_id, {_WORDS.format('a')} AS
  best AS (SELECT s1_id, cand_id, i, max(jw) AS jw FROM m JOIN j ON p = a AND q = b GROUP BY ALL), mean AS (SELECT s1_id, cand_id, avg(jw) AS jw FROM best GROUP BY ALL)"""
 
 
-@query(f"WITH {_WORD_PAIRS} SELECT s1_id, cand_id, round(coalesce(jw, (len(x) = 0 AND len(y) = 0)::INT::DOUBLE), 6) AS similarity FROM w LEFT JOIN mean USING (s1_id, cand_id)")
+@query(f"WITH {_WORD_PAIRS} SELECT s1_id, cand_id, round(coalesce(jw, (len(x) = 0 AND len(y) = 0)::INT::DOUBLE), 9) AS similarity FROM w LEFT JOIN mean USING (s1_id, cand_id)")
 def pair_monge_elkan(spark, d):
-    return _hydrated(spark, d).select("s1_id", "cand_id", r6(S.monge_elkan(F.col("a_name_clean"), F.col("b_name_clean")), "similarity"))
+    return _hydrated(spark, d).select("s1_id", "cand_id", F.round(S.monge_elkan(F.col("a_name_clean"), F.col("b_name_clean")), 9).alias("similarity"))
 
 
 _APART = "(aa = ba AND aa <> '' AND CASE WHEN greatest(length(a), length(b)) = 0 THEN 1.0 ELSE 1.0 - levenshtein(replace(a, 'ß', '@'), replace(b, 'ß', '@')) / greatest(length(a), length(b))::DOUBLE END < 0.7)"
