@@ -117,6 +117,8 @@ def looked_up(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
     sent to all tasks, and no task of the shuffled rest holds a hot key.
     """
     total = rows.count()
+    if total <= 4096:  # no key can be hot
+        return rows.join(facts, key, "left")
     sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > max(4096, total // HOT_KEYS))
     if sizes.isEmpty():
         return rows.join(facts, key, "left")

@@ -35,10 +35,11 @@ def components(edges: DataFrame) -> DataFrame:
             step = own.withColumnRenamed("root", "to").withColumnRenamed("node", "root")
             now = looked_up(roots, step, "root").select("node", F.coalesce("to", "root").alias("root"))
         now = materialise(now, "roots")
-        moved = looked_up(looked_up(links, own.toDF("a", "ra"), "a"), own.toDF("b", "rb"), "b").select(F.coalesce("ra", "a").alias("x"), F.coalesce("rb", "b").alias("y"))
+        half = materialise(looked_up(links, own.toDF("a", "ra"), "a"), "half")
+        moved = looked_up(half, own.toDF("b", "rb"), "b").select(F.coalesce("ra", "a").alias("x"), F.coalesce("rb", "b").alias("y"))
         left = materialise(moved.where(F.col("x") != F.col("y")).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "links")
-        forget(links)
-        forget(hook)
+        for done in (links, hook, half):
+            forget(done)
         if roots is not None:
             forget(roots)
         links, roots = left, now
