@@ -195,3 +195,11 @@ def test_streamed_windows_equal_those_of_the_table(spark, tmp_path):
     run.awaitTermination(120)
     rows = lambda df: sorted((r["start"], r["event_type"], r["n"], round(r["total"], 6)) for r in df.collect())
     assert rows(spark.table("streamed_windows")) == rows(windowed_counts(events)) != []
+
+
+def test_names_come_from_whole_texts(spark, tmp_path):
+    wide = [" " * 300 + "Far  away" + "\n" * 250 + "words " + "x" * 60, "a" + " " * 5000 + "b", None, "", " \t\n" * 100, "é " * 90, "y" * 100000]
+    rows = [(i, t, "fr", "host1") for i, t in enumerate(wide)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    names = [r["business_name"] for r in biz.records(spark, str(tmp_path)).orderBy("pos").collect()]
+    assert names == [t and " ".join(t.split())[:40].strip() for t in wide]

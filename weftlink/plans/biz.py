@@ -14,14 +14,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: What holds the first 40 characters of the squeezed text, however much white space lies before and between them.
+HEAD = r"^\s*(?:\S\s*){0,40}"
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as business records of three sources, dealt by id."""
+    """Documents as business records of three sources, dealt by id; a name is the first 40 characters of the squeezed text."""
     number = F.col("doc_id") % 3 + 1
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("pos"),
         F.concat(F.lit("S"), number, F.lit("-"), "doc_id").alias("entity_id"),
         F.concat(F.lit("S"), number).alias("source"),
-        F.btrim(F.substring(squeeze(F.substring("text", 1, 200)), 1, 40)).alias("business_name"),
+        F.btrim(F.substring(squeeze(F.regexp_extract("text", HEAD, 0)), 1, 40)).alias("business_name"),
         F.concat("source", F.lit(" 75"), F.lpad(F.regexp_replace("source", "[^0-9]", ""), 3, "0")).alias("business_address"),
         F.col("lang").alias("country"),
     )
@@ -53,7 +57,7 @@ def scored_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The same in the oracle's SQL; each text is a list of common table expressions.
 BIZ = r"""biz AS (
   SELECT doc_id AS pos, 'S' || (doc_id % 3 + 1) || '-' || doc_id AS entity_id, 'S' || (doc_id % 3 + 1) AS source,
-         trim(left(trim(regexp_replace(left(text, 200), '\s+', ' ', 'g')), 40)) AS business_name,
+         trim(left(trim(regexp_replace(text, '\s+', ' ', 'g')), 40)) AS business_name,
          d.source || ' 75' || lpad(regexp_replace(d.source, '[^0-9]', '', 'g'), 3, '0') AS business_address, lang AS country
   FROM documents d)"""
 
