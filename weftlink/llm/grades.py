@@ -75,6 +75,20 @@ def sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def slopes(s: np.ndarray, g: int) -> tuple[float, np.ndarray]:
+    """Derivatives of the log-likelihood of grade g by the score and by each threshold; s: P(grade >= k) for k from 1."""
+    top = len(s)
+    above, below = (s[g - 1] if g else 1.0), (s[g] if g < top else 0.0)
+    p = max(above - below, 1e-9)
+    da, db = above * (1 - above), below * (1 - below)
+    dt = np.zeros(top)
+    if g:
+        dt[g - 1] -= da / p
+    if g < top:
+        dt[g] += db / p
+    return (da - db) / p, dt
+
+
 def train(rows: list, bits: int, grades: int, epochs: int = 12, rate: float = 0.1, shrink: float = 1e-5, least: int = 4, seed: int = 3) -> Model:
     """rows: (grade, idx).  Features in fewer than ``least`` rows keep weight 0.
 
@@ -96,16 +110,8 @@ def train(rows: list, bits: int, grades: int, epochs: int = 12, rate: float = 0.
             t = np.cumsum(np.concatenate([gap[:1], np.exp(gap[1:])]))
             z = w[idx].sum()
             s = sigmoid(z - t)
-            above, below = (s[g - 1] if g else 1.0), (s[g] if g < grades - 1 else 0.0)
-            p = max(above - below, 1e-9)
-            da, db = (above * (1 - above) if g else 0.0), (below * (1 - below) if g < grades - 1 else 0.0)
-            dz = np.clip((da - db) / p, -5, 5)
-            dt = np.zeros(grades - 1)
-            if g:
-                dt[g - 1] -= da / p
-            if g < grades - 1:
-                dt[g] += db / p
-            dt = np.clip(dt, -5, 5)
+            dz, dt = slopes(s, g)
+            dz, dt = np.clip(dz, -5, 5), np.clip(dt, -5, 5)
             dgap = dt[::-1].cumsum()[::-1] * np.concatenate([[1.0], np.exp(gap[1:])])
             grad = -dz + shrink * w[idx]
             gw[idx] += grad * grad
