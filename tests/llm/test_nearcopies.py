@@ -65,6 +65,22 @@ def test_large_clusters_are_compared_block_by_block(rows, monkeypatch):
     compare(rows, corpus(3, 2, 70))
 
 
+def test_long_chains_are_compared_bucket_by_bucket(rows, monkeypatch):
+    rng, old, seen = random.Random(9), N.pieces_of, []
+
+    def spied(spread, buckets, clusters):
+        units = old(spread, buckets, clusters, block=4)
+        seen.append((clusters.select("cluster").distinct().count(), units.select("cluster").distinct().count()))
+        return units
+
+    monkeypatch.setattr(N, "pieces_of", spied)
+    line = [f"c{rng.randint(0, 5000)}" for _ in range(1200)]
+    chain = [" ".join(line[i : i + 60]) for i in range(0, 1140, 12)]  # neighbours have similarity 0.65
+    linked = [" ".join(["x", *line[i : i + 60]]) for i in range(0, 1140, 60)]
+    compare(rows, chain + linked + corpus(4, 20, 4))
+    assert seen[0][1] > seen[0][0] + 40
+
+
 def test_matrix_and_pairwise_agree():
     rng = np.random.default_rng(0)
     base = np.unique(rng.integers(0, 1 << 40, 300).astype(np.uint64))

@@ -9,7 +9,10 @@ Documents with equal sets are one class.  Classes whose signatures agree in a
 band meet in a bucket; chains of buckets are clusters, found by distributed
 union-find over one edge a member.  Within a cluster all sets are compared in
 full, block by block, and the confirmed links give the components, again by
-union-find.  No link inside a cluster can be missed, and none needs a row.
+union-find.  A long chain of small buckets can join sets that have little in
+common; where that takes fewer comparisons, a cluster's buckets are compared one
+by one instead.  Either way all sets that share a band are compared, and no pair
+needs a row.
 """
 
 from __future__ import annotations
@@ -176,7 +179,31 @@ def joined_pairs(items: list[np.ndarray], block: np.ndarray, across: bool, perce
     return out
 
 
-def links(clusters: DataFrame, sets: DataFrame, percent: int, block: int = 256) -> DataFrame:
+#: Sets of a block: two blocks are what a task compares at once.
+BLOCK = 256
+
+
+def pieces_of(spread: DataFrame, buckets: DataFrame, clusters: DataFrame, block: int = BLOCK) -> DataFrame:
+    """cid, cluster: what is compared with what, each cluster as a whole or bucket by bucket.
+
+    spread: cid, bucket; buckets: bucket, head, k for those with k > 1 classes;
+    clusters: cid, cluster.  A unit of n sets sends n * ceil(n / block) rows of
+    sets, and the cheaper way is taken: for one of many near copies it is the
+    whole cluster, for a long chain of small buckets it is the buckets, whose
+    cost grows with the chain's length alone.
+    """
+    cost = lambda n: F.col(n) * F.ceil(F.col(n) / F.lit(block))
+    named = buckets.join(clusters.withColumnRenamed("cid", "head"), "head").select("bucket", "k", "cluster")
+    whole = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select("cluster", cost("n").alias("whole"))
+    parts = named.groupBy("cluster").agg(F.sum(cost("k")).alias("parts"))
+    chains = materialise(whole.join(parts, "cluster").where(F.col("parts") < F.col("whole")).select("cluster"), "chains")
+    if chains.isEmpty():
+        return clusters
+    cut = spread.join(named.join(chains, "cluster", "left_semi").select("bucket"), "bucket").select("cid", F.col("bucket").alias("cluster"))
+    return clusters.join(chains, "cluster", "left_anti").select("cid", "cluster").unionByName(cut)
+
+
+def links(clusters: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
     """a, b: links that join all members of clusters which any chain of similar sets joins.
 
     clusters: cid, cluster.  A cluster is dealt into blocks of about ``block``
@@ -224,14 +251,18 @@ def group(docs: DataFrame, width: int = 4, percent: int = 80, bands: int = 40, r
     marked = materialise(signed(texts, width, bands, rows), "signed")
     classes = materialise(marked.where(F.col("n") > 0).groupBy("cid").agg(F.min(F.struct("did", "uid")).alias("first"), F.first("bands").alias("bands")), "classes")
     spread = classes.select("cid", F.explode("bands").alias("bucket"))
-    heads = spread.groupBy("bucket").agg(F.min("cid").alias("head"), F.count(F.lit(1)).alias("k")).where(F.col("k") > 1).select("bucket", "head")
-    stars = spread.join(heads, "bucket").where(F.col("cid") != F.col("head")).select(F.col("cid").alias("a"), F.col("head").alias("b"))
+    members = F.bit_xor(F.xxhash64("cid")).alias("members")  # buckets of the same classes count once
+    heads = spread.groupBy("bucket").agg(F.min("cid").alias("head"), F.count(F.lit(1)).alias("k"), members).where(F.col("k") > 1)
+    buckets = materialise(heads.groupBy("head", "k", "members").agg(F.min("bucket").alias("bucket")), "buckets")
+    stars = spread.join(buckets, "bucket").where(F.col("cid") != F.col("head")).select(F.col("cid").alias("a"), F.col("head").alias("b"))
     clusters = components(stars).toDF("cid", "cluster")
+    units = pieces_of(spread, buckets, clusters)
     wanted = classes.join(clusters.select("cid"), "cid", "left_semi").select("cid", "first.did", "first.uid")
     sources = texts.join(wanted.hint("shuffle_hash"), ["did", "uid"]).select("cid", "text")
     sets = materialise(sets_of(sources, width).dropDuplicates(["cid"]), "sets")
-    roots = components(links(clusters, sets, percent))
+    roots = components(links(units, sets, percent))
     forget(sets)
+    forget(buckets)
     placed = materialise(classes.select("cid", "first").join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "first", F.coalesce("root", "cid").alias("root")), "placed")
     reps = placed.groupBy("root").agg(F.min("first").alias("rep"))
     of_class = materialise(looked_up(placed, reps, "root").select("cid", "rep"), "reps")
