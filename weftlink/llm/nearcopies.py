@@ -183,24 +183,25 @@ def joined_pairs(items: list[np.ndarray], block: np.ndarray, across: bool, perce
 BLOCK = 256
 
 
-def pieces_of(spread: DataFrame, buckets: DataFrame, clusters: DataFrame, block: int = BLOCK) -> DataFrame:
+def pieces_of(classes: DataFrame, buckets: DataFrame, clusters: DataFrame, block: int = BLOCK) -> DataFrame:
     """cid, cluster: what is compared with what, each cluster as a whole or bucket by bucket.
 
-    spread: cid, bucket; buckets: bucket, head, k for those with k > 1 classes;
+    classes: cid, bands; buckets: bucket, head, k for those with k > 1 classes;
     clusters: cid, cluster.  A unit of n sets sends n * ceil(n / block) rows of
-    sets, and the cheaper way is taken: for one of many near copies it is the
-    whole cluster, for a long chain of small buckets it is the buckets, whose
-    cost grows with the chain's length alone.
+    sets.  One of many near copies is compared as a whole; a long chain of small
+    buckets, whose cost by buckets grows with its length alone, goes by buckets
+    where that takes less than half the rows, since dealing them costs a pass.
     """
     cost = lambda n: F.col(n) * F.ceil(F.col(n) / F.lit(block))
     named = buckets.join(clusters.withColumnRenamed("cid", "head"), "head").select("bucket", "k", "cluster")
     whole = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select("cluster", cost("n").alias("whole"))
     parts = named.groupBy("cluster").agg(F.sum(cost("k")).alias("parts"))
-    chains = materialise(whole.join(parts, "cluster").where(F.col("parts") < F.col("whole")).select("cluster"), "chains")
+    chains = materialise(whole.join(parts, "cluster").where(2 * F.col("parts") < F.col("whole")).select("cluster"), "chains")
     if chains.isEmpty():
         return clusters
-    cut = spread.join(named.join(chains, "cluster", "left_semi").select("bucket"), "bucket").select("cid", F.col("bucket").alias("cluster"))
-    return clusters.join(chains, "cluster", "left_anti").select("cid", "cluster").unionByName(cut)
+    inside = classes.join(clusters.join(chains, "cluster", "left_semi").select("cid"), "cid").select("cid", F.explode("bands").alias("bucket"))
+    cut = inside.join(named.join(chains, "cluster", "left_semi").select("bucket"), "bucket").select("cid", F.col("bucket").alias("cluster"))
+    return materialise(clusters.join(chains, "cluster", "left_anti").select("cid", "cluster").unionByName(cut), "units")
 
 
 def links(clusters: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
@@ -256,7 +257,7 @@ def group(docs: DataFrame, width: int = 4, percent: int = 80, bands: int = 40, r
     buckets = materialise(heads.groupBy("head", "k", "members").agg(F.min("bucket").alias("bucket")), "buckets")
     stars = spread.join(buckets, "bucket").where(F.col("cid") != F.col("head")).select(F.col("cid").alias("a"), F.col("head").alias("b"))
     clusters = components(stars).toDF("cid", "cluster")
-    units = pieces_of(spread, buckets, clusters)
+    units = pieces_of(classes, buckets, clusters)
     wanted = classes.join(clusters.select("cid"), "cid", "left_semi").select("cid", "first.did", "first.uid")
     sources = texts.join(wanted.hint("shuffle_hash"), ["did", "uid"]).select("cid", "text")
     sets = materialise(sets_of(sources, width).dropDuplicates(["cid"]), "sets")
