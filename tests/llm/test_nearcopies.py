@@ -68,8 +68,8 @@ def test_large_clusters_are_compared_block_by_block(rows, monkeypatch):
 def test_long_chains_are_compared_bucket_by_bucket(rows, monkeypatch):
     rng, old, seen = random.Random(9), N.pieces_of, []
 
-    def spied(classes, buckets, clusters):
-        units = old(classes, buckets, clusters, block=4)
+    def spied(classes, clusters):
+        units = old(classes, clusters, block=4)
         seen.append((clusters.select("cluster").distinct().count(), units.select("cluster").distinct().count()))
         return units
 

@@ -183,24 +183,29 @@ def joined_pairs(items: list[np.ndarray], block: np.ndarray, across: bool, perce
 BLOCK = 256
 
 
-def pieces_of(classes: DataFrame, buckets: DataFrame, clusters: DataFrame, block: int = BLOCK) -> DataFrame:
+def pieces_of(classes: DataFrame, clusters: DataFrame, block: int = BLOCK) -> DataFrame:
     """cid, cluster: what is compared with what, each cluster as a whole or bucket by bucket.
 
-    classes: cid, bands; buckets: bucket, head, k for those with k > 1 classes;
-    clusters: cid, cluster.  A unit of n sets sends n * ceil(n / block) rows of
-    sets.  One of many near copies is compared as a whole; a long chain of small
-    buckets, whose cost by buckets grows with its length alone, goes by buckets
-    where that takes less than half the rows, since dealing them costs a pass.
+    classes: cid, bands; clusters: cid, cluster.  A unit of n sets sends
+    n * ceil(n / block) rows of sets.  One of many near copies is compared as a
+    whole; a long chain of small buckets, whose cost by buckets grows with its
+    length alone, goes by buckets where that takes less than half the rows.
+    Only clusters of more than two blocks can, so only their bands are dealt.
     """
     cost = lambda n: F.col(n) * F.ceil(F.col(n) / F.lit(block))
-    named = buckets.join(clusters.withColumnRenamed("cid", "head"), "head").select("bucket", "k", "cluster")
-    whole = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select("cluster", cost("n").alias("whole"))
-    parts = named.groupBy("cluster").agg(F.sum(cost("k")).alias("parts"))
-    chains = materialise(whole.join(parts, "cluster").where(2 * F.col("parts") < F.col("whole")).select("cluster"), "chains")
+    large = materialise(clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * block).select("cluster", cost("n").alias("whole")), "large")
+    if large.isEmpty():
+        return clusters
+    own = classes.join(clusters.join(large, "cluster", "left_semi").select("cid", "cluster"), "cid")
+    inside = materialise(own.select("cid", "cluster", F.explode("bands").alias("bucket")), "inside")
+    members = F.bit_xor(F.xxhash64("cid")).alias("members")  # buckets of the same classes count once
+    shared = inside.groupBy("cluster", "bucket").agg(F.count(F.lit(1)).alias("k"), members).where(F.col("k") > 1)
+    buckets = materialise(shared.groupBy("cluster", "k", "members").agg(F.min("bucket").alias("bucket")), "buckets")
+    parts = buckets.groupBy("cluster").agg(F.sum(cost("k")).alias("parts"))
+    chains = materialise(large.join(parts, "cluster").where(2 * F.col("parts") < F.col("whole")).select("cluster"), "chains")
     if chains.isEmpty():
         return clusters
-    inside = classes.join(clusters.join(chains, "cluster", "left_semi").select("cid"), "cid").select("cid", F.explode("bands").alias("bucket"))
-    cut = inside.join(named.join(chains, "cluster", "left_semi").select("bucket"), "bucket").select("cid", F.col("bucket").alias("cluster"))
+    cut = inside.join(buckets.join(chains, "cluster", "left_semi").select("cluster", "bucket"), ["cluster", "bucket"]).select("cid", F.col("bucket").alias("cluster"))
     return materialise(clusters.join(chains, "cluster", "left_anti").select("cid", "cluster").unionByName(cut), "units")
 
 
@@ -252,18 +257,15 @@ def group(docs: DataFrame, width: int = 4, percent: int = 80, bands: int = 40, r
     marked = materialise(signed(texts, width, bands, rows), "signed")
     classes = materialise(marked.where(F.col("n") > 0).groupBy("cid").agg(F.min(F.struct("did", "uid")).alias("first"), F.first("bands").alias("bands")), "classes")
     spread = classes.select("cid", F.explode("bands").alias("bucket"))
-    members = F.bit_xor(F.xxhash64("cid")).alias("members")  # buckets of the same classes count once
-    heads = spread.groupBy("bucket").agg(F.min("cid").alias("head"), F.count(F.lit(1)).alias("k"), members).where(F.col("k") > 1)
-    buckets = materialise(heads.groupBy("head", "k", "members").agg(F.min("bucket").alias("bucket")), "buckets")
-    stars = spread.join(buckets, "bucket").where(F.col("cid") != F.col("head")).select(F.col("cid").alias("a"), F.col("head").alias("b"))
+    heads = spread.groupBy("bucket").agg(F.min("cid").alias("head"), F.count(F.lit(1)).alias("k")).where(F.col("k") > 1).select("bucket", "head")
+    stars = spread.join(heads, "bucket").where(F.col("cid") != F.col("head")).select(F.col("cid").alias("a"), F.col("head").alias("b"))
     clusters = components(stars).toDF("cid", "cluster")
-    units = pieces_of(classes, buckets, clusters)
+    units = pieces_of(classes, clusters)
     wanted = classes.join(clusters.select("cid"), "cid", "left_semi").select("cid", "first.did", "first.uid")
     sources = texts.join(wanted.hint("shuffle_hash"), ["did", "uid"]).select("cid", "text")
     sets = materialise(sets_of(sources, width).dropDuplicates(["cid"]), "sets")
     roots = components(links(units, sets, percent))
     forget(sets)
-    forget(buckets)
     placed = materialise(classes.select("cid", "first").join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "first", F.coalesce("root", "cid").alias("root")), "placed")
     reps = placed.groupBy("root").agg(F.min("first").alias("rep"))
     of_class = materialise(looked_up(placed, reps, "root").select("cid", "rep"), "reps")
