@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -110,3 +111,21 @@ def test_a_very_long_text(rows):
     data = [text + text[1000:2000], "z" * 50 + text[5000:5600], text[::-1]]
     out = {r["doc_id"]: r for r in S.dedup(rows([(i, t, "", 0) for i, t in enumerate(data)], SCHEMA)).collect()}
     assert (out[0]["n_removed"], out[0]["n_spans"]) == (1000 + 1000 + 600 - 0, 3) and (out[1]["n_removed"], out[2]["n_removed"]) == (600, 0)
+
+
+def test_hashing_a_batch_takes_few_bytes_for_each_byte_of_text():
+    """At most 60, of which the sums of two hashes and their powers take 32; the hashes are those of the definition."""
+    raw = np.random.default_rng(3).integers(97, 123, 1 << 20, dtype=np.uint8)
+    S.K.tidy()
+    tracemalloc.start()
+    sums, other = S.K.byte_sums(raw, 0), S.K.byte_sums(raw, 1)
+    t, _ = S.triggers(raw, np.array([0, len(raw)]), sums, 200)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 * len(raw)
+    for which, found in enumerate((sums, other)):
+        at = np.array([0, 5, S.K.PART - 3, S.K.PART, len(raw) - 40])
+        plain = [sum(int(S.K.BYTE[which][c]) * pow(S.K.BASES[which], i, 1 << 64) for i, c in enumerate(raw[a : a + 40].tolist())) % (1 << 64) for a in at.tolist()]
+        assert (S.K.spans(found, at, at + 40, which) == S.K.mixed(np.array(plain, S.K.U64))).all()
+    whole = S.K.rolling(sums, S.TRIGGER) % S.K.U64(25) == 0
+    assert (t == np.flatnonzero(whole)).all()
