@@ -54,6 +54,14 @@ def test_removed_bytes_equal_brute_force(rows):
     compare(rows, corpus(9, 30, 400), 400)
 
 
+def test_repeats_go_by_bytes_not_by_words(rows):
+    """57 words of 399 bytes stay in both documents, as the contract fixes 400 bytes; one byte more, and they go."""
+    words = "".join(f"word{i:02} " for i in range(60))
+    for n, removed in ((399, 0), (400, 400)):
+        out = S.dedup(rows([(i, f"{i}{words[:n]}{i}", "x", 1) for i in range(2)], SCHEMA))
+        assert [r["n_removed"] for r in out.collect()] == [removed, removed]
+
+
 def test_batches_of_any_size_agree(rows, monkeypatch):
     monkeypatch.setattr(S.X, "BATCH", 500)
     compare(rows, corpus(4, 40, 60), 60)
