@@ -4,6 +4,7 @@ import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from weftlink.llm import suffixes as S
 
@@ -62,6 +63,16 @@ def test_repeats_go_by_bytes_not_by_words(rows):
         assert [r["n_removed"] for r in out.collect()] == [removed, removed]
 
 
+def test_lists_are_measured_where_nothing_else_loads_pyarrow_compute(monkeypatch):
+    """A new Python worker may have loaded pyarrow without it."""
+    spans, at = pa.array([[0, 1], None], pa.list_(pa.int64())), np.array([0, 9, 12])
+    batch = pa.RecordBatch.from_arrays([spans] * 4, [f"k{k}" for k in (S.SURE, S.BOTH, S.KNOWN, S.HIT)])
+    monkeypatch.delattr(pa, "compute", raising=False)
+    assert S._spans(batch, f"k{S.SURE}", at)[0].tolist() == [0]
+    monkeypatch.delattr(pa, "compute", raising=False)
+    assert S._dead(batch, at, 4).sum() == 5
+
+
 def test_batches_of_any_size_agree(rows, monkeypatch):
     monkeypatch.setattr(S.X, "BATCH", 500)
     compare(rows, corpus(4, 40, 60), 60)
